@@ -1,0 +1,4 @@
+"""All queries of the core, with their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
