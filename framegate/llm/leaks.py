@@ -19,8 +19,8 @@ WINDOW = 10
 TERMS, RANK, EXTRA, KEPT_APART = 4096, 32, 8, 8
 #: Words of a passage when the latent space is fitted.
 PASSAGE = 32
-#: Items per block of the query side.
-BLOCK = 2000
+#: Items per block of the query side, and words of the texts searched at a time.
+BLOCK, LOT_WORDS = 2000, 50_000
 
 
 @dataclass(frozen=True)
@@ -122,52 +122,99 @@ def _common(a: list[str], b: list[str]) -> int:
 
 def _search(space: LatentSpace, items: list[tuple[int, list[str], np.ndarray]], least_cosine: float, least_shared: int, least_common: int):
     """Per text the items with a candidate window, with their longest verbatim run and best common subsequence."""
-    starts = [(n, s) for n, (_, w, _) in enumerate(items) for s in range(len(w) - WINDOW + 1)]
+    item_of = np.repeat(np.arange(len(items)), [len(w) - WINDOW + 1 for _, w, _ in items])
+    start_of = np.concatenate([np.arange(len(w) - WINDOW + 1) for _, w, _ in items])
     probes = np.vstack([space.windows(h, np.arange(len(h) - WINDOW + 1)) for _, _, h in items]).astype(np.float32)
+    marks = np.concatenate([_marks(h) for _, _, h in items])
     known = np.unique(np.concatenate([h for _, _, h in items]))
 
+    def pairs(flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in begin, probe, cosine) of all pairs that are similar enough. Windows of equal words are compared once."""
+        distinct, first, copy = np.unique(_marks(flat)[begin], return_index=True, return_inverse=True)
+        rows, columns, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for i in range(0, len(distinct), 1024):
+            cosine = space.windows(flat, begin[first[i : i + 1024]]).astype(np.float32) @ probes.T
+            r, c = np.nonzero(cosine >= least_cosine)
+            rows.append(r + i)
+            columns.append(c)
+            values.append(cosine[r, c])
+        r, c, v = map(np.concatenate, (rows, columns, values))
+        count = np.bincount(r, minlength=len(distinct))
+        offset = np.r_[0, np.cumsum(count)][:-1]
+        per = count[copy]
+        which = np.repeat(np.arange(len(begin)), per)
+        at = np.repeat(offset[copy] - np.r_[0, np.cumsum(per)][:-1], per) + np.arange(len(which))
+        return which, c[at], v[at]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            lists = [np.asarray(h) for h in f["hashes"]]
-            flat = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-            hit = np.r_[0, np.cumsum(known[place] == flat)]
+        for f in (part for frame in frames for part in _lots(frame)):
+            lists = [np.asarray(h, np.int64) for h in f["hashes"]]
+            flat = np.concatenate([*lists, np.zeros(0, np.int64)])
             ends = np.cumsum([0, *map(len, lists)])
             owner = np.repeat(np.arange(len(lists)), [len(h) for h in lists])
+            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            hit = np.r_[0, np.cumsum(known[place] == flat)]
             begin = np.arange(max(0, len(flat) - WINDOW + 1))
-            begin = begin[(owner[begin] == owner[begin + WINDOW - 1]) & (hit[begin + WINDOW] - hit[begin] >= least_shared)] if len(begin) else begin
-            best: dict[tuple[int, int], list] = {}
-            for i in range(0, len(begin), 1024):
-                part = begin[i : i + 1024]
-                cosine = space.windows(flat, part).astype(np.float32) @ probes.T
-                for r, c in zip(*np.nonzero(cosine >= least_cosine)):
-                    d = owner[part[r]]
-                    words, (n, s) = f["words"].iloc[d], starts[c]
-                    at, item = part[r] - ends[d], items[n][1]
+            begin = begin[(owner[begin] == owner[begin + WINDOW - 1]) & (hit[begin + WINDOW] - hit[begin] >= least_shared)]
+            out: list[tuple] = []
+            if len(begin):
+                which, probe, cosine = pairs(flat, begin)
+                at, doc, item = begin[which], owner[begin[which]], item_of[probe]
+                pair = doc * len(items) + item
+                same = _marks(flat)[at] == marks[probe]
+                longest = _runs(pair[same], at[same], start_of[probe[same]])
+                order = np.lexsort((-start_of[probe], -at, cosine, pair))
+                best = order[np.r_[pair[order][1:] != pair[order][:-1], True]] if len(order) else order
+                for k in best:
+                    d, n = int(doc[k]), int(item[k])
+                    words, asked = f["words"].iloc[d], items[n][1]
                     run_words = 0
-                    if all(words[at + k] == item[s + k] for k in range(WINDOW)):
-                        run_words = WINDOW
-                        while at + run_words < len(words) and s + run_words < len(item) and words[at + run_words] == item[s + run_words]:
-                            run_words += 1
-                    kept = best.setdefault((d, n), [0.0, 0, 0])
-                    kept[0] = max(kept[0], float(min(1.0, cosine[r, c])))
-                    kept[1] = max(kept[1], run_words)
-                    if kept[2] < WINDOW:
-                        kept[2] = max(kept[2], WINDOW if run_words else _common(list(words[at : at + WINDOW]), item[s : s + WINDOW]))
-            out = [(f["key"].iloc[d], items[n][0], *v) for (d, n), v in best.items() if v[2] >= least_common]
+                    for w, s, length in longest.get(int(pair[k]), ()):  # hashes found the run; its words decide
+                        p = w - ends[d]
+                        if length + WINDOW - 1 > run_words and list(words[p : p + length + WINDOW - 1]) == asked[s : s + length + WINDOW - 1]:
+                            run_words = int(length + WINDOW - 1)
+                    p, s = at[k] - ends[d], start_of[probe[k]]
+                    common = WINDOW if run_words else _common(list(words[p : p + WINDOW]), asked[s : s + WINDOW])
+                    if common >= least_common:
+                        out.append((f["key"].iloc[d], items[n][0], float(min(1.0, cosine[k])), run_words, common))
             yield pd.DataFrame(out, columns=["key", "item_id", "cosine", "run_words", "common_words"])
 
     return run
 
 
+def _lots(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in lots of about LOT_WORDS words, each text whole."""
+    lot = np.cumsum(frame["hashes"].map(len).to_numpy()) // LOT_WORDS
+    for _, part in frame.groupby(lot, sort=False):
+        yield part
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit mark of each window of words."""
+    total = np.zeros(max(0, len(hashes) - WINDOW + 1), np.uint64)
+    for k in range(WINDOW):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + (hashes[k : k + len(total)].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    return total
+
+
+def _runs(pair: np.ndarray, at: np.ndarray, start: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """Per pair the stretches of equal windows that follow each other in text and item: (place, item's place, windows)."""
+    order = np.lexsort((at, at - start, pair))
+    p, a, s = pair[order], at[order], start[order]
+    cut = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (a[1:] - s[1:] != a[:-1] - s[:-1]) | (a[1:] != a[:-1] + 1)]) if len(p) else np.zeros(0, np.int64)
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for i, length in zip(cut, np.diff(np.r_[cut, len(p)])):
+        out.setdefault(int(p[i]), []).append((int(a[i]), int(s[i]), int(length)))
+    return out
+
+
 def leaked_items(
     docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_cosine: float = 0.85, least_shared: int = 8, least_common: int = 8
 ) -> DataFrame:
     """Which items' passages stand in which texts; columns key, item_id, cosine, run_words, common_words.
 
     run_words is the longest passage of at least ten consecutive words that item and text share (0: none), common_words the longest common
-    subsequence of ten-word windows of both (of those found alike), cosine their largest similarity. A pair with run_words 0 is a
+    subsequence of their most similar ten-word windows, cosine the similarity of these. A pair with run_words 0 is a
     paraphrase: at least least_common of ten words in the same order. Words are runs of letters and digits in lower case after
     both texts are brought to their look-alike form. Null and empty texts, and items of under ten words, never match.
 
