@@ -41,8 +41,12 @@ def _agglomerate(same: np.ndarray, gap: np.ndarray, change: np.ndarray, max_gap:
     return run
 
 
-def _merge(entity: list[str], max_gap: float, max_change: float):
-    """Runs of a partition that is sorted by (entity, block, first_sequence), merged within their blocks; open ones touch a block's edge."""
+def _merge(entity: list[str], below: int | None, max_gap: float, max_change: float):
+    """Runs of a partition that is sorted by (entity, block, first_sequence), merged within their blocks; open ones touch a block's edge.
+
+    below: bits of the blocks that were merged before. Two runs of one such block are done with each other: they were compared, or
+    what lies between them is closed and no longer here.
+    """
     keys = [*entity, "_block"]
 
     def batch(frame: pd.DataFrame) -> pd.DataFrame:
@@ -52,6 +56,8 @@ def _merge(entity: list[str], max_gap: float, max_change: float):
             within = np.logical_and.reduce([(a[k].to_numpy() == b[k].to_numpy()) | (a[k].isna().to_numpy() & b[k].isna().to_numpy()) for k in keys])
             kind_a, kind_b = a["kind"].to_numpy(object), b["kind"].to_numpy(object)
             same = within & (kind_a == kind_b) & a["kind"].notna().to_numpy()
+            if below is not None:
+                same &= a["last_sequence"].to_numpy() >> below != b["first_sequence"].to_numpy() >> below
             gap = np.abs(np.round(b["started"].to_numpy(float) - a["ended"].to_numpy(float), 9))
             change = np.abs(np.round(b["first_change"].to_numpy(float) - a["last_change"].to_numpy(float), 9))
             run = _agglomerate(same, gap, change, max_gap, max_change)
@@ -97,7 +103,7 @@ def collapse_runs(
     Neighbours by `sequence` (missing numbers do not matter) are one run when they have an equal `kind`, changes at most max_change
     apart and times at most max_gap apart; distances are compared at nine decimals, so 0.05 and 0.04 are 0.01 apart. A null or NaN
     time or change, or a null kind, ends the run on both sides; such an event is a run of one. Null entities form one sequence.
-    (entity, sequence) must be unique and sequence not null. An empty table gives an empty result.
+    Rows with a null sequence are left out; rows that repeat one count as neighbours, each an event. An empty table gives an empty result.
 
     Adjacent agglomeration: within a block of consecutive sequence numbers, the most similar neighbouring runs merge until none
     meets the limits. What touches a block's edge is still open and is merged again with its neighbours in the next larger block. Two runs are
@@ -106,16 +112,16 @@ def collapse_runs(
     """
     columns = [*entity, *[c.split()[0] for c in _RUN.split(", ")]]
     value, at = measured(F.col(change).cast("double")), measured(F.col(time).cast("double"))
-    runs = events.select(
+    runs = events.where(F.col(sequence).isNotNull()).select(
         *entity, F.col(sequence).cast("long").alias("first_sequence"), F.col(sequence).cast("long").alias("last_sequence"), F.lit(1).cast("long").alias("events"),
         at.alias("started"), at.alias("ended"), F.col(kind).cast("string").alias("kind"), value.alias("first_change"), value.alias("last_change"),
     )
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
     closed = None
-    for bits in LEVELS:
+    for below, bits in zip((None, *LEVELS), LEVELS):
         blocks = runs.withColumn("_block", F.lit(0).cast("long") if bits is None else F.shiftright("first_sequence", bits))
-        blocks = blocks.repartition(*entity, "_block").sortWithinPartitions(*entity, "_block", "first_sequence")
-        merged = blocks.mapInPandas(_merge(entity, max_gap, max_change), f"{types}, _block long, open boolean")
+        blocks = blocks.repartition(*entity, "_block").sortWithinPartitions(*entity, "_block", "first_sequence", "started", "kind", "first_change")
+        merged = blocks.mapInPandas(_merge(entity, below, max_gap, max_change), f"{types}, _block long, open boolean")
         if bits is None:
             done = merged.select(*columns)
         else:
