@@ -143,20 +143,25 @@ def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """The token ids of every text, without special tokens; columns key, ids (array of int).
 
-    Null and empty texts give an empty array. Strings of special tokens in a text are ordinary text. key must be unique; texts of any length are
-    encoded whole. Each distinct word is encoded once, whatever its count; occurrences meet their ids in a join by word (hot
-    words are split by AQE and, for words of up to four characters, by salt) and come together again by document.
+    Null and empty texts give an empty array. Strings of special tokens in a text are ordinary text. Texts of any length are encoded whole.
+    Repeated rows are one; a key with several texts has a row for each. No other column is read.
+
+    Each distinct word is encoded once, whatever its count; occurrences meet their ids in a join by word (hot words are split by AQE and,
+    for words of up to four characters, by salt) and come together again by document.
     """
-    split = docs.select(key, F.posexplode_outer(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))).alias("_pos", "word"))
+    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    split = source.select("_key", F.xxhash64("_text").alias("_mark"), F.posexplode_outer(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("_pos", "word"))
     coded = encode_words(durable(split.where("word is not null").select("word").distinct()), path)
     salts = 8
     brief = F.length("word") <= 4
     coded = coded.withColumn("_salt", F.explode(F.when(brief, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    split = split.withColumn("_salt", F.when(brief, F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(0).cast("int"))
-    met = split.join(coded, ["word", "_salt"], "left").select(key, F.struct("_pos", "ids").alias("_part"))
-    parts = met.groupBy(key).agg(F.collect_list("_part").alias("_parts"))
-    ordered = F.filter(F.transform(F.array_sort("_parts"), lambda p: p["ids"]), lambda i: i.isNotNull())
-    return parts.select(key, F.flatten(ordered).alias("ids"))
+    split = split.withColumn("_salt", F.when(brief, F.pmod(F.xxhash64("_key"), F.lit(salts))).otherwise(0).cast("int"))
+    met = split.join(coded, ["word", "_salt"], "left").select("_key", "_mark", F.struct("_pos", "ids").alias("_part"))
+    parts = met.groupBy("_key", "_mark").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    repeated = F.size("_parts") > F.coalesce(F.element_at("_parts", -1)["_pos"], F.lit(0)) + 1
+    once = F.when(repeated, F.filter("_parts", lambda p, i: (i == 0) | (p["_pos"] != F.get("_parts", i - 1)["_pos"]))).otherwise(F.col("_parts"))
+    ordered = F.filter(F.transform(once, lambda p: p["ids"]), lambda i: i.isNotNull())
+    return parts.select(F.col("_key").alias(key), F.flatten(ordered).alias("ids"))
 
 
 def decode_corpus(encoded: DataFrame, key: str, ids: str, path: str = VOCABULARY) -> DataFrame:

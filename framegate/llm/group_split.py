@@ -47,14 +47,14 @@ def _mark(edges: DataFrame) -> tuple:
 def bind(records: DataFrame, key: str, bonds: list[Column]) -> DataFrame:
     """The group of every record; columns key, group_id: the smallest key among the records bound to it, directly or through others.
 
-    Two records are bound when they have the same value in one of the two bonds; null binds nothing. key must be a unique long, not
-    null. Exactly two bonds: the records are the edges of a two-sided graph whose nodes are bond values.
+    Two records are bound when they have the same value in one of the two bonds; null binds nothing. key is a long; records
+    with a null key are left out, rows that repeat a key are one record with the bonds of all. Exactly two bonds: the records are the edges of a two-sided graph whose nodes are bond values.
     A bond value is known by 2 x (smallest key that has it), plus 1 for the second bond, so ids are exact and the smallest node
     of a component is the smallest key. Records equal in both bonds are one edge before anything is joined.
     """
     if len(bonds) != 2:
         raise ValueError("bind takes two bonds")
-    rows = records.select(F.col(key).alias("_key"), *[b.alias(f"_b{i}") for i, b in enumerate(bonds)])
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *[b.alias(f"_b{i}") for i, b in enumerate(bonds)])
     pairs = durable(rows.groupBy("_b0", "_b1").agg(F.min("_key").alias("_low")))
     nodes = [pairs.where(F.col(f"_b{i}").isNotNull()).groupBy(f"_b{i}").agg((F.min("_low") * 2 + i).alias(f"_n{i}")) for i in (0, 1)]
     known = durable(pairs.join(nodes[0], "_b0", "left").join(nodes[1], "_b1", "left"))
@@ -64,7 +64,7 @@ def bind(records: DataFrame, key: str, bonds: list[Column]) -> DataFrame:
     same = (rows["_b0"].eqNullSafe(group["_b0"])) & (rows["_b1"].eqNullSafe(group["_b1"]))
     alone = rows.where("_b0 is null and _b1 is null").select(F.col("_key").alias(key), F.col("_key").alias("group_id"))
     bound = rows.where("_b0 is not null or _b1 is not null").join(group, same).select(F.col("_key").alias(key), "group_id")
-    return bound.unionByName(alone)
+    return bound.unionByName(alone).groupBy(key).agg(F.min("group_id").alias("group_id"))
 
 
 def _difference(tuples: list[tuple[int, list[list[int]]]], sums: list[list[int]]) -> list[list[int]]:

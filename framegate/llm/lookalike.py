@@ -102,7 +102,8 @@ def with_form(df: DataFrame, text: str, name: str = "form") -> DataFrame:
     Characters without width are dropped (format characters, variation selectors, controls other than tab and line ends), every
     space separator is a plain space, full- and half-width forms are the ordinary characters, letters and accents are
     composed (NFC), and Latin, Greek and Cyrillic letters of one shape are one letter, with their accents. Letter case, missing accents,
-    other digits, tabs, line ends and the number of spaces stay as they are. Null gives null, empty gives empty.
+    other digits, tabs, line ends and the number of spaces stay as they are. Null gives null, empty gives empty. A column that is
+    called `name` already is replaced; all others stay.
 
     Texts of plain ASCII never leave the JVM; of the others only unstable stretches are normalized.
     """
@@ -115,7 +116,7 @@ def with_form(df: DataFrame, text: str, name: str = "form") -> DataFrame:
             yield pd.Series([None if t is None else form(t) for t in s], dtype=object)
 
     source = F.col(text)
-    return df.withColumn("_unstable", F.when(~source.rlike(PLAIN), source)).withColumn(name, F.coalesce(canon("_unstable"), source)).drop("_unstable")
+    return df.withColumn(name, F.coalesce(canon(F.when(~source.rlike(PLAIN), source)), source))
 
 
 def visible(form: Column) -> Column:
@@ -126,13 +127,13 @@ def visible(form: Column) -> Column:
 def lookalikes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Classes of look-alike texts that differ as strings; columns key, class_id (digest of the form), variant (digest of the text).
 
-    A class with only one string has no row here, nor have null texts and texts without any visible character. Digests of 256 bits
+    Repeated rows are one. A class with only one string has no row here, nor have null texts and texts without any visible character. Digests of 256 bits
     stand for the texts, so long texts are not shuffled; a class is found from one row per distinct string and map task.
     """
     rows = with_form(df.select(key, F.col(text).alias("_text")), "_text", "_form").where(visible(F.col("_form")))
     rows = rows.select(key, F.unhex(F.sha2("_form", 256)).alias("class_id"), F.unhex(F.sha2("_text", 256)).alias("variant"))
     several = rows.groupBy("class_id").agg(F.min(F.hex("variant")).alias("_a"), F.max(F.hex("variant")).alias("_b")).where("_a <> _b").select("class_id")
-    return rows.join(several, "class_id", "left_semi").select(key, "class_id", "variant")
+    return rows.join(several, "class_id", "left_semi").select(key, "class_id", "variant").distinct()
 
 
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:

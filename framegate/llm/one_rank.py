@@ -14,13 +14,14 @@ def percentiles(df: DataFrame, group: list[str], scale: str, ids: list[str], sco
     """Each item's percentiles among the items of its group that were scored on the same scale; columns group + ids + vector.
 
     A percentile is the share of the other items below plus half of those that tie, 1 for an item alone; null where the
-    item has no value (null or NaN). `vector` has one entry per score, in the order given. Items are (group, ids), which must be
-    unique. A null scale is a scale of its own. Group and ids must not be null.
+    item has no value (null or NaN). `vector` has one entry per score, in the order given. Items are (group, ids); a
+    repeated item counts as often as it occurs and keeps its best percentiles. A null scale is a scale of its own. Items with a null in group
+    or ids are left out.
 
     Distinct values are counted before any shuffle, so equal scores are one row however many they are; the running count
     behind a percentile is taken over range partitions, never over a whole group.
     """
-    long = df.select(
+    long = df.dropna(subset=[*group, *ids]).select(
         *group, *ids, F.coalesce(F.col(scale).cast("string"), F.lit("")).alias("_scale"), F.col(scale).isNull().alias("_no_scale"),
         F.posexplode(F.array(*[measured(F.col(c).cast("double")) for c in scores])).alias("_score", "_value"),
     ).withColumn("_value", F.col("_value") + F.lit(0.0))

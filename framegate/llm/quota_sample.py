@@ -110,11 +110,11 @@ def draw(records: DataFrame, plan: DataFrame, key: str, seed: int = 7) -> DataFr
     """The sampled records; columns key, profile_id, target_id, kind, cell_category, cell_risk.
 
     The rows of a cell are permuted by a hash of (seed, profile, key) with ties by key, and numbered over range partitions, so a
-    cell may hold any share of all rows. key must be unique and not null.
+    cell may hold any share of all rows. Records with a null key are never drawn; a repeated key counts as often as it occurs.
     """
     spans = durable(plan.where(F.col("first").isNotNull()))
     cells = spans.groupBy("profile_id", "cell_category", "cell_risk").agg(F.max("last").alias("_most"))
-    pool = records.select(key, F.col("leaf_category").alias("cell_category"), F.col("leaf_risk").alias("cell_risk"))
+    pool = records.where(F.col(key).isNotNull()).select(key, F.col("leaf_category").alias("cell_category"), F.col("leaf_risk").alias("cell_risk"))
     pool = pool.join(cells, ["cell_category", "cell_risk"]).withColumn("_draw", F.xxhash64(F.lit(seed), "profile_id", key))
     cell = ["profile_id", "cell_category", "cell_risk"]
     placed = with_place(pool, cell, [F.col("_draw"), F.col(key)]).where(F.col("place") <= F.col("_most"))
