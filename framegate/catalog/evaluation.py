@@ -100,7 +100,7 @@ def duplicate_transitions(spark: SparkSession, folder: str) -> DataFrame:
 def profile_complete(spark: SparkSession, folder: str) -> DataFrame:
     rows = labels(spark, folder)
     cases = table(spark, folder, "evaluation_cases").select("case_id").distinct().count()
-    return metrics.profile_complete(metrics.audit_counts(rows, CLAIM180), cases, CLAIM180, metrics.duplicate_transitions(rows, F.col("transition"), F.col("label_id")))
+    return metrics.profile_complete(rows, cases, CLAIM180)
 
 
 def state_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,8 +221,9 @@ SQL = {
     "review_scores": _review_sql(),
     "audit_counts": _AUDIT,
     "duplicate_transitions": _DUPLICATES,
-    "profile_complete": f"""SELECT missing, reused, case_deficit, missing = 0 AND case_deficit = 0 AND reused = 0 AS profile_complete FROM (SELECT (SELECT coalesce(sum(deficit), 0)::BIGINT FROM ({_AUDIT}) WHERE kind = 'category') AS missing,
- (SELECT count(*) FROM ({_DUPLICATES})) AS reused, (SELECT greatest(0, 30 - count(DISTINCT case_id)) FROM evaluation_cases) AS case_deficit)""",
+    "profile_complete": f"""SELECT *, missing = 0 AND independent >= 180 AND case_deficit = 0 AND reused = 0 AS profile_complete FROM (SELECT (SELECT coalesce(sum(deficit), 0)::BIGINT FROM ({_AUDIT}) WHERE kind = 'category') AS missing,
+ (SELECT count(DISTINCT transition) FROM ({LABELS}) WHERE real_world_eligible) AS independent, (SELECT count(*) FROM (SELECT transition FROM ({LABELS}) WHERE real_world_eligible AND transition IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS reused,
+ (SELECT greatest(0, 30 - count(DISTINCT case_id)) FROM evaluation_cases) AS case_deficit)""",
     "state_names": f"SELECT label_id, pos - 1 AS pos, regexp_replace(replace(lower(trim(acceptable_states[pos])), '-', '_'), '\\s+', '_', 'g') AS state FROM (SELECT label_id, acceptable_states, unnest(range(1, len(acceptable_states) + 1)) AS pos FROM ({LABELS}))",
     "label_defaults": f"SELECT label_id, category, risk, tolerance, real_world_eligible, transition FROM ({LABELS})",
     "label_violations": checks.LABEL_SQL.format(labels=LABELS),

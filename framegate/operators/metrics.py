@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from framegate.config import CATEGORIES, RISKS, Profile
 from framegate.functions.stats import rate
@@ -87,17 +88,21 @@ def duplicate_transitions(labels: DataFrame, transition: Column, key: Column, sh
     rows = labels.select(transition.alias("transition"), key.alias("_k")).where("transition is not null")
     counts = rows.groupBy("transition").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
     firsts = rows.join(counts.select("transition"), "transition", "left_semi").groupBy("transition")
-    from pyspark.sql.internal import InternalFunction
-
     firsts = firsts.agg(InternalFunction.collect_top_k(F.col("_k"), shown, True).alias("keys"))
     return counts.join(firsts, "transition")
 
 
-def profile_complete(audit: DataFrame, cases: int, profile: Profile, duplicates: DataFrame) -> DataFrame:
-    """One row: whether the labels reach the profile, with the four conditions."""
-    a = audit.where("kind = 'category'").agg(F.coalesce(F.sum("deficit"), F.lit(0)).alias("missing"))
-    d = duplicates.agg(F.count(F.lit(1)).alias("reused"))
-    row = a.withColumn("_k", F.lit(0)).join(d.withColumn("_k", F.lit(0)), "_k").drop("_k")
+def profile_complete(labels: DataFrame, cases: int, profile: Profile) -> DataFrame:
+    """One row: whether the eligible labels reach the profile, with the conditions. labels: category, transition, real_world_eligible.
+
+    Every category must reach its target, as many different transitions as labels asked for must be there, cases must be enough,
+    and where the profile wants it no transition may serve two labels.
+    """
+    ok = labels.where(F.coalesce("real_world_eligible", F.lit(True)))
+    a = audit_counts(labels, profile).where("kind = 'category'").agg(F.coalesce(F.sum("deficit"), F.lit(0)).alias("missing"))
+    uses = ok.groupBy("transition").agg(F.count(F.lit(1)).alias("n"))
+    t = uses.agg(F.count("transition").alias("independent"), F.count_if((F.col("n") > 1) & F.col("transition").isNotNull()).alias("reused"))
+    row = a.withColumn("_k", F.lit(0)).join(t.withColumn("_k", F.lit(0)), "_k").drop("_k")
     row = row.withColumn("case_deficit", F.lit(max(0, profile.min_cases - cases)).cast("long"))
     unique_ok = (F.col("reused") == 0) | F.lit(not profile.unique_transitions)
-    return row.withColumn("profile_complete", (F.col("missing") == 0) & (F.col("case_deficit") == 0) & unique_ok)
+    return row.withColumn("profile_complete", (F.col("missing") == 0) & (F.col("independent") >= sum(profile.targets.values())) & (F.col("case_deficit") == 0) & unique_ok)
