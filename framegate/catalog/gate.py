@@ -13,7 +13,7 @@ SLOW = Gate(min_event_interval_seconds=3600.0, max_active_seconds=86400.0)
 
 
 def gate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stream(spark, folder).withColumn("difference", F.abs(F.col("value") - F.lag("value").over(signals.in_order())))
+    rows = signals.stepped(stream(spark, folder), ["value"]).withColumn("difference", F.abs(F.col("value") - F.col("previous_value")))
     changed = F.coalesce(F.col("difference") >= STEP, F.lit(False))
     return gate.gate_input(rows, changed, F.coalesce("difference", F.lit(0.0)) / 1000, F.lit("global_fraction"))
 

@@ -1,6 +1,6 @@
 """Schedules, signals, importance and selection."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framegate.config import Sampler
@@ -39,8 +39,12 @@ def label_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lag_difference(spark: SparkSession, folder: str) -> DataFrame:
-    d = F.abs(F.col("value") - F.lag("value").over(signals.in_order()))
-    return stream(spark, folder).select("media_id", "frame_index", F.round(F.coalesce(d, F.lit(0.0)), 6).alias("difference"))
+    d = F.abs(F.col("value") - F.col("previous_value"))
+    return _stepped(spark, folder).select("media_id", "frame_index", F.round(F.coalesce(d, F.lit(0.0)), 6).alias("difference"))
+
+
+def _stepped(spark: SparkSession, folder: str) -> DataFrame:
+    return signals.stepped(stream(spark, folder), ["value"])
 
 
 def histogram_distance(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +72,8 @@ def motion_fraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spike_promotion(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stream(spark, folder).withColumns({"difference": F.abs(F.col("value") - F.lag("value").over(signals.in_order())), "n": F.count(F.lit(1)).over(Window.partitionBy("media_id"))})
+    rows = _stepped(spark, folder).withColumn("difference", F.abs(F.col("value") - F.col("previous_value")))
+    rows = rows.join(rows.groupBy("media_id").agg(F.count(F.lit(1)).alias("n")), "media_id")
     rows = rows.withColumn("scheduled", signals.scheduled(F.col("frame_index"), F.col("n"), F.lit(3)))
     rows = signals.spikes(rows, "difference", 60.0, "scheduled")
     kept = rows.where("scheduled or spike")

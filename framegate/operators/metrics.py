@@ -1,6 +1,6 @@
 """Quality measures of selections, and audits of labels."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
@@ -49,9 +49,8 @@ def redundancy(selected: DataFrame, stream: str, index: str, distance, threshold
 
 def temporal_coverage(selected: DataFrame, stream: list[str], time: str, duration: str, budget: int) -> DataFrame:
     """Per stream the share of equal bins of its duration that hold a selected time; as many bins as rows, the budget at most."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*stream))
-    bins = F.least(F.lit(budget), F.greatest(F.lit(1), n))
-    rows = selected.withColumn("_bins", bins)
+    counts = selected.groupBy(*stream).agg(F.least(F.lit(budget), F.count(F.lit(1))).alias("_bins"))
+    rows = selected.join(counts, stream)
     at = F.when(F.col(duration) > 0, F.least(F.col("_bins") - 1, (F.col(time) / F.col(duration) * F.col("_bins")).cast("long"))).otherwise(0)
     out = rows.groupBy(*stream).agg(F.count_distinct(at).alias("covered"), F.max("_bins").cast("long").alias("bins"))
     return out.withColumn("coverage", F.col("covered") / F.col("bins"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegate.config import Sampler
+from framegate.plans.order import with_place
 
 
 def ranked(df: DataFrame, stream: list[str], importance: str = "importance", index: str = "frame_index", name: str = "rank") -> DataFrame:
@@ -16,12 +17,16 @@ def ranked(df: DataFrame, stream: list[str], importance: str = "importance", ind
 
 
 def uniform_select(df: DataFrame, stream: list[str], budget: int, index: str = "frame_index") -> DataFrame:
-    """Evenly spread rows of each stream: all if the budget covers them, else the rows at half-even rounded even spacing."""
-    w = Window.partitionBy(*stream)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(index)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """Evenly spread rows of each stream: all if the budget covers them, else the rows at half-even rounded even spacing.
+
+    Streams and (stream, index) must not be null or repeat. Rows are numbered over range partitions, so a stream may hold any share of
+    all rows.
+    """
+    counts = df.groupBy(*stream).agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_place(df, stream, [F.col(index)], "_i").join(counts, stream).withColumn("_i", F.col("_i") - 1)
     if budget == 1:
         return placed.where("_i = 0").drop("_i", "_n")
-    spots = F.transform(F.sequence(F.lit(0), F.lit(budget - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / (budget - 1)).cast("int"))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(budget - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / (budget - 1)).cast("long"))
     return placed.where((F.col("_n") <= budget) | F.array_contains(spots, F.col("_i"))).drop("_i", "_n")
 
 

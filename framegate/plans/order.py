@@ -44,3 +44,20 @@ def with_sum_before(df: DataFrame, group: list[str], order: list, weight: str, b
     local = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("_run", F.coalesce(F.sum(weight).over(local), F.lit(0)))
     return cut.join(heads, ["_part", *group]).withColumn(before, F.col("_base") + F.col("_run")).drop("_part", "_at", "_run", "_base")
+
+
+def with_previous(df: DataFrame, group: list[str], order: list, columns: list[str], prefix: str = "previous_") -> DataFrame:
+    """Add the given columns of the row before in the group by `order`, null for the first row.
+
+    The order must be unique within the group, the group columns not null. A window spans one range partition of a group at most; the
+    last row of each goes to the next one through a table of one row per group and partition.
+    """
+    cut = _cut(df, group, order).withColumn("_part", F.shiftright("_at", _PART_BITS))
+    row = F.struct(*[F.col(c) for c in columns])
+    tails = cut.groupBy("_part", *group).agg(F.max_by(row, F.col("_at")).alias("_tail"))
+    tails = tails.select("_part", *group, F.lag("_tail").over(Window.partitionBy(*group).orderBy("_part")).alias("_edge"))
+    local = Window.partitionBy("_part", *group).orderBy("_at")
+    cut = cut.withColumns({"_lag": F.lag(row).over(local), "_first": F.row_number().over(local) == 1})
+    before = F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_lag"))
+    joined = cut.join(tails, ["_part", *group]).withColumn("_before", before)
+    return joined.withColumns({f"{prefix}{c}": F.col("_before")[c] for c in columns}).drop("_part", "_at", "_lag", "_first", "_edge", "_before")

@@ -14,7 +14,7 @@ from framegate.functions import geometry, pixels, stats
 from framegate.functions.text import relative_path, state_key, vocabulary_key
 from framegate.operators import checks, claims, frames, gate, locks, match, metrics, select, signals, suite
 from framegate.operators.versions import latest
-from framegate.plans.order import with_place, with_sum_before
+from framegate.plans.order import with_place, with_previous, with_sum_before
 from framegate.sources import logs, manifest, sinks, synthetic, video
 from framegate.streaming.live_gate import Session, live_gate
 
@@ -61,6 +61,7 @@ def test_places_over_any_group(spark):
         own = sorted((v, w) for k, v, w in data if k == g)
         assert all(got[g, v] == (sum(x for _, x in own[:i]), sum(x for _, x in own)) for i, (v, _) in enumerate(own))
     assert with_place(df.limit(0), ["g"], [F.col("v")]).count() == 0
+    assert rows(with_previous(df, ["g"], [F.col("v")], ["v"]).where("previous_v is distinct from case when v > 0 then v - 1 end")) == []
 
 
 def test_latest(spark):
