@@ -1,5 +1,7 @@
 """ANSI SQL for the p queries that SQL can express over whole tables; keys as in queries.QUERIES."""
 
+from framegate.llm import lookalike
+
 _KEY = "replace(replace(lower(trim({0}, ' ' || chr(9) || chr(10))), '-', '_'), ' ', '_')"
 _LATEST_LABELS = "SELECT * FROM labeled_events QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY ingested_at DESC) = 1"
 _LATEST_EVENTS = "SELECT * FROM perception_events QUALIFY row_number() OVER (PARTITION BY video_path, sequence_no ORDER BY ingested_at DESC) = 1"
@@ -21,7 +23,34 @@ t AS (SELECT profile_id, target_id, {_KEY.format("category")} AS category, {_KEY
 y AS (SELECT t.*, (SELECT count(*) FROM x WHERE x.c = t.category AND (t.risk IS NULL OR x.r = t.risk)) AS existing FROM t)
 """
 
+_SCORES = ("frame_difference", "histogram_difference", "motion_score", "importance")
+_RANKED = f"""WITH c AS (SELECT * FROM ({_LATEST_CANDIDATES}) SEMI JOIN rank_panel USING (video_path)),
+l AS ({" UNION ALL ".join(f"SELECT video_path, frame_index, analyzer_build, {i} AS s, CASE WHEN NOT isnan({c}) THEN {c} END AS v FROM c" for i, c in enumerate(_SCORES))}),
+q AS (SELECT *, rank() OVER (PARTITION BY video_path, analyzer_build, s ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY video_path, analyzer_build, s, v) AS same, count(*) OVER (PARTITION BY video_path, analyzer_build, s) AS n FROM l WHERE v IS NOT NULL),
+k AS (SELECT l.video_path, l.frame_index, list_sort(list(coalesce(CASE WHEN n = 1 THEN 1.0 ELSE (below + (same - 1) / 2.0) / (n - 1) END, -1.0))) AS a, max(n) IS NULL AS none FROM l LEFT JOIN q ON q.video_path = l.video_path AND q.frame_index = l.frame_index AND q.s = l.s GROUP BY 1, 2),
+r AS (SELECT video_path, frame_index, none, row_number() OVER (PARTITION BY video_path ORDER BY a[2] DESC, a[3] DESC, a[4] DESC, a[1] DESC, frame_index) AS place FROM k)
+"""
+
+
+def _form(text: str) -> str:
+    """The look-alike form in SQL: single characters and composed letters are translated, marks composed."""
+    shape = lookalike.shape()
+    own = {chr(cp): shape.canonical(chr(cp)) for cp in (*range(0x20, 0xAC00), *range(0xF900, 0x10000)) if not 0x3131 <= cp <= 0x318E}
+    own |= {chr(cp): s for cp, s in shape.single.items()}
+    moved = {a: b for a, b in own.items() if a != b and len(b) == 1 and a != "'"}
+    dropped = "".join(f"\\x{{{ord(a):X}}}" for a, b in own.items() if b == "")
+    quoted = lambda s: s.replace("'", "''")
+    table = f"translate(regexp_replace({text}, '[{dropped}]', '', 'g'), '{quoted(''.join(moved))}', '{quoted(''.join(moved.values()))}')"
+    return f"translate(nfc_normalize({table}), '{quoted(''.join(moved))}', '{quoted(''.join(moved.values()))}')"
+
+
+_GRAMS = """SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM {table}))"""
 SQL = {
+    "p6_found": _RANKED + "SELECT video_path, frame_index FROM r WHERE place = 1 AND NOT none",
+    "p6_ranking": _RANKED + "SELECT video_path, frame_index, place FROM r",
+    "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key="doc_id", form=_form("text"), table="documents")}) JOIN ({_GRAMS.format(key="item_id", form=_form("item_text"), table="heldout_items")}) USING (g)""",
+    "p9_found": f"""WITH f AS (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL), v AS (SELECT * FROM f WHERE regexp_matches(form, '[^ \\t\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'))
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p1_found": f"""SELECT video_path, frame_index FROM ({_LATEST_CANDIDATES}) WHERE NOT isnan(importance)
 QUALIFY row_number() OVER (PARTITION BY video_path ORDER BY importance DESC, frame_index) <= 6""",
     "p2_found": _REPORT + "SELECT profile_id, target_id FROM y WHERE needed > existing",
