@@ -100,6 +100,32 @@ def slot_templates(spark: SparkSession, folder: str) -> DataFrame:
     return locks.slot_templates(s, "slot", "candidate", ["target"], 2)
 
 
+def _collection(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as collected cases: some without artifacts, some with a broken one, a few beyond the plan or left out."""
+    p = table(spark, folder, "part").withColumn("case_id", F.col("p_partkey").cast("string"))
+    status = F.when(F.col("p_size") > 25, "valid").when(F.col("p_size") > 10, "invalid").when(F.col("p_size") > 5, "startup_failed").otherwise("missing")
+    cases = p.where("p_partkey % 89 <> 0").select("case_id", status.alias("status"))
+    kinds = F.when(F.col("p_size") > 25, F.array(F.lit("capture"), F.lit("verification"))).when(F.col("p_size") > 5, F.array(F.lit("failure"))).otherwise(F.array().cast("array<string>"))
+    kinds = F.when(F.col("p_partkey") % 31 == 0, F.slice(kinds, 1, 1)).otherwise(kinds)
+    artifacts = p.select("case_id", F.explode(kinds).alias("kind"), (F.col("p_partkey") % 43 != 0).alias("valid"))
+    plan = p.where("p_partkey % 97 <> 0").select("case_id", F.col("p_partkey").alias("position"), F.col("p_brand").alias("slot"))
+    return cases, artifacts, plan
+
+
+def collection_problems(spark: SparkSession, folder: str) -> DataFrame:
+    return locks.collection_problems(*_collection(spark, folder))
+
+
+def selected_by_slot(spark: SparkSession, folder: str) -> DataFrame:
+    cases, _, plan = _collection(spark, folder)
+    return locks.selected_cases(cases, plan, "first_valid_per_slot_in_plan_order", 0)
+
+
+def selected_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    cases, _, plan = _collection(spark, folder)
+    return locks.selected_cases(cases, plan, "first_valid_in_plan_order", 30)
+
+
 def exactly_one(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"))
     actions = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"), "l_returnflag")
@@ -124,7 +150,7 @@ def hash_verify_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     paired_systems, coverage_gaps, bootstrap_interval, claim_comparison, claim_seeded, cost_ratios, frozen_evidence, first_valid, first_valid_per_slot, status_counts, count_mismatches,
-    slot_templates, exactly_one, hash_verify, hash_verify_sources,
+    slot_templates, collection_problems, selected_by_slot, selected_in_order, exactly_one, hash_verify, hash_verify_sources,
 )}
 
 _PAIRS = """SELECT o_orderkey AS event_id, o_custkey % 200 AS workflow_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'action_failure' ELSE 'other' END AS category, o_orderstatus <> 'P' AS success, o_orderkey % 50 = 0 AS fc, o_totalprice < 200000 AS base_success, o_orderkey % 20 = 0 AS base_fc FROM orders"""
@@ -137,6 +163,11 @@ def _interval_sql(where: str, value: str, seed: int) -> str:
 
 
 _HASHED = """SELECT doc_id, source, doc_id % 101 <> 0 AS "exists", doc_id % 101 <> 0 AND doc_id % 97 <> 0 AS bytes_match, doc_id % 101 <> 0 AND sha256(text) = sha256(CASE WHEN doc_id % 97 = 0 THEN text || '!' ELSE text END) AS hash_match FROM documents WHERE text IS NOT NULL"""
+_COLLECTION = """WITH p AS (SELECT *, p_partkey::VARCHAR AS case_id, CASE WHEN p_size > 25 THEN 'valid' WHEN p_size > 10 THEN 'invalid' WHEN p_size > 5 THEN 'startup_failed' ELSE 'missing' END AS status FROM part),
+c AS (SELECT case_id, status FROM p WHERE p_partkey % 89 <> 0), l AS (SELECT case_id, p_partkey AS position, p_brand AS slot FROM p WHERE p_partkey % 97 <> 0),
+k AS (SELECT case_id, CASE WHEN p_partkey % 31 = 0 THEN ['capture'] ELSE ['capture', 'verification'] END AS kinds, p_partkey % 43 <> 0 AS intact FROM p WHERE p_size > 25 UNION ALL SELECT case_id, ['failure'], p_partkey % 43 <> 0 FROM p WHERE p_size BETWEEN 6 AND 25),
+r AS (SELECT c.*, coalesce(kinds, []) AS kinds, intact FROM c LEFT JOIN k USING (case_id))
+"""
 _DIFF, _FC = "success::INT - base_success::INT", "fc::INT - base_fc::INT"
 SQL = {
     "paired_systems": f"SELECT category, count(*) AS events, count(*) FILTER (success) AS candidate, count(*) FILTER (base_success) AS baseline, count(DISTINCT workflow_id) AS workflows FROM ({_PAIRS}) GROUP BY category",
@@ -161,6 +192,10 @@ SELECT count(*) AS events, count(DISTINCT video) AS unique_video_count, count(DI
     "count_mismatches": f"SELECT category, count(*) AS counted, count(*) FILTER (risk <> 'low') AS declared FROM ({LABELS}) GROUP BY category HAVING count(*) <> count(*) FILTER (risk <> 'low')",
     "slot_templates": """WITH c AS (SELECT s_nationkey AS slot, s_suppkey, count(*) AS n, count(DISTINCT t) AS u, array_to_string(list_sort(list(t)), ',') AS shape FROM (SELECT s_nationkey, s_suppkey, unnest([floor(s_acctbal / 4000)::BIGINT, 77]) AS t FROM supplier) GROUP BY 1, 2)
 SELECT slot, count(*) AS candidates, bool_and(n = 2 AND u = n) AS complete, count(DISTINCT shape) AS templates, bool_and(n = 2 AND u = n) AND count(DISTINCT shape) = 1 AS balanced FROM c GROUP BY slot""",
+    "collection_problems": _COLLECTION + """SELECT case_id, 'planned case is not listed' AS problem FROM l ANTI JOIN c USING (case_id) UNION ALL SELECT case_id, 'case is not in the plan' FROM c ANTI JOIN l USING (case_id)
+UNION ALL SELECT case_id, 'valid case lacks an artifact' FROM r WHERE status = 'valid' AND len(kinds) < 2 UNION ALL SELECT case_id, 'artifact integrity failed' FROM r WHERE NOT intact""",
+    "selected_by_slot": _COLLECTION + "SELECT arg_min(case_id, position) AS case_id, min(position) AS position FROM l SEMI JOIN (SELECT * FROM c WHERE status = 'valid') USING (case_id) GROUP BY slot",
+    "selected_in_order": _COLLECTION + "SELECT case_id, position FROM l SEMI JOIN (SELECT * FROM c WHERE status = 'valid') USING (case_id) ORDER BY position LIMIT 30",
     "exactly_one": "SELECT matches, matches = 1 AS valid, count(*) AS targets FROM (SELECT o_orderkey, count(*) FILTER (l_returnflag = 'R') AS matches FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY matches",
     "hash_verify": f'SELECT doc_id, "exists", bytes_match, hash_match, "exists" AND bytes_match AND hash_match AS valid FROM ({_HASHED})',
     "hash_verify_sources": f"SELECT source, count(*) AS files, count(*) FILTER (NOT hash_match) AS failed, bool_and(hash_match) AS valid FROM ({_HASHED}) GROUP BY source",

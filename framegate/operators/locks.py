@@ -215,3 +215,43 @@ def verify_freeze(spark: SparkSession, path: Path | str, root: Path | str) -> di
     checks = verify(expected, actual, ["path"]).collect()  # one row per file of the lock
     same = lock.get("freeze_id") == fingerprint(lock, ("created_at_utc", "freeze_id"))
     return {"valid": same and all(c["valid"] for c in checks), "role": lock["role"], "freeze_id": lock["freeze_id"], "identity": same, "files": [c.asDict() for c in checks]}
+
+
+# --- what a collection delivered ------------------------------------------------------------------------------------
+
+
+def collection_problems(cases: DataFrame, artifacts: DataFrame, plan: DataFrame) -> DataFrame:
+    """What is wrong with a collection, a row per problem: case_id, problem.
+
+    cases: case_id, status. artifacts: case_id, kind ('capture', 'verification', 'failure'), valid (its file is as declared). plan: case_id, position.
+    Every planned case must be there once and no other; a valid case needs a capture and a verification, any other but a missing one a
+    failure; every file must be valid, and a missing case has none.
+    """
+    named = lambda df, text: df.select("case_id", F.lit(text).alias("problem"))
+    have = artifacts.groupBy("case_id").agg(F.collect_set("kind").alias("kinds"), F.bool_and("valid").alias("intact"))
+    rows = cases.join(have, "case_id", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    full = F.array_contains("kinds", "capture") & F.array_contains("kinds", "verification")
+    status = F.col("status")
+    found = (
+        (cases.groupBy("case_id").count().where("count > 1"), "case is listed more than once"),
+        (plan.join(cases, "case_id", "left_anti"), "planned case is not listed"),
+        (cases.join(plan, "case_id", "left_anti"), "case is not in the plan"),
+        (rows.where(~F.coalesce(status.isin(*STATUSES), F.lit(False))), "unknown status"),
+        (rows.where((status == "valid") & ~full), "valid case lacks an artifact"),
+        (rows.where(status.isin("invalid", "startup_failed") & ~F.array_contains("kinds", "failure")), "failed case lacks its failure artifact"),
+        (rows.where((status == "missing") & (F.size("kinds") > 0)), "missing case has artifacts"),
+        (rows.where(~F.col("intact")), "artifact integrity failed"),
+    )
+    out = None
+    for df, text in found:
+        out = named(df, text) if out is None else out.unionByName(named(df, text))
+    return out
+
+
+def selected_cases(cases: DataFrame, plan: DataFrame, mode: str, wanted: int) -> DataFrame:
+    """The cases that count, in plan order: the first valid ones, or the first valid one of each slot. plan: case_id, position, slot."""
+    rows = plan.join(cases.where("status = 'valid'").select("case_id").distinct(), "case_id", "left_semi")
+    if mode == "first_valid_in_plan_order":
+        return rows.orderBy("position").limit(wanted).select("case_id", "position")
+    best = rows.groupBy("slot").agg(F.min(F.struct("position", "case_id")).alias("_b"))
+    return best.select(F.col("_b.case_id").alias("case_id"), F.col("_b.position").alias("position"))

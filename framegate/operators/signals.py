@@ -4,18 +4,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegate.config import Sampler
-from framegate.plans.order import with_previous
 
 
 def in_order(stream: list[str] = ["media_id"], by: str = "frame_index"):
     return Window.partitionBy(*stream).orderBy(by)
 
 
-def stepped(df: DataFrame, columns: list[str], stream: str = "media_id", index: str = "frame_index") -> DataFrame:
+def stepped(df: DataFrame, columns: list[str], stream: list[str] = ["media_id"], index: str = "frame_index") -> DataFrame:
     """df with previous_<column> of the frame numbered one less, for streams numbered without gaps: an equi join by (stream, number), which no
     stream makes heavy. Streams with gaps take plans.order.with_previous."""
-    before = df.select(stream, (F.col(index) + 1).alias(index), *[F.col(c).alias(f"previous_{c}") for c in columns])
-    return df.join(before, [stream, index], "left")
+    before = df.select(*stream, (F.col(index) + 1).alias(index), *[F.col(c).alias(f"previous_{c}") for c in columns])
+    return df.join(before, [*stream, index], "left")
 
 
 def schedule_step(fps: Column, hz: float) -> Column:
@@ -56,10 +55,10 @@ def histogram_distance(p: Column, q: Column) -> Column:
 
 
 def spikes(df: DataFrame, difference: str, threshold: float, scheduled_flag: str, stream: list[str] = ["media_id"]) -> DataFrame:
-    """df with `spike`: the first row of each run at or above the threshold, unless it is scheduled anyway."""
+    """df with `spike`: the first row of each run at or above the threshold, unless it is scheduled anyway. A stream has a row per frame."""
     above = F.coalesce(F.col(difference) >= threshold, F.lit(False))
-    rows = with_previous(df.withColumn("_above", above), stream, [F.col("frame_index")], ["_above"], "_p")
-    return rows.withColumn("spike", F.col("_above") & ~F.coalesce("_p_above", F.lit(False)) & ~F.col(scheduled_flag)).drop("_above", "_p_above")
+    rows = stepped(df.withColumn("_above", above), ["_above"], stream)
+    return rows.withColumn("spike", F.col("_above") & ~F.coalesce("previous__above", F.lit(False)) & ~F.col(scheduled_flag)).drop("_above", "previous__above")
 
 
 def robust_scales(df: DataFrame, signals: list[str], stream: list[str] = ["media_id"]) -> DataFrame:

@@ -323,8 +323,35 @@ def test_locks(spark, tmp_path):
 
 
 def test_global_reasons():
-    good = dict(freeze_valid=True, role="held_out", audit_profile="claim180", preregistered=True, profile_complete=True, unique_video_count=30, duplicate_transition_count=0, identity_matches=True, review_method="human_blind", reviewers=2, adjudicated=True, review_artifacts_valid=True, system_artifacts_valid=True)
-    assert claims.global_reasons(good, Requirements()) == [] and len(claims.global_reasons({**good, "role": "development", "reviewers": 1}, Requirements())) == 2
+    good = dict.fromkeys(claims.REASONS, True)
+    assert claims.global_reasons(good) == [] and len(claims.global_reasons({**good, "held_out": False, "enough_reviewers": False})) == 2 and len(claims.global_reasons({})) == 13
+
+
+def test_assess_claim(spark, tmp_path, capsys):
+    """A comparison that is complete but for its small, unregistered set: each system is compared, no claim is supported."""
+    names = [f"c{i}" for i in range(3)]
+    cases = [{"id": n, "video": f"{n}.avi", "goal": "g", "events": [{"id": "e1", "start": 0, "end": 1, "category": "action_failure"}, {"id": "e2", "start": 2, "end": 3}]} for n in names]
+    for n in names:
+        (tmp_path / f"{n}.avi").write_bytes(n.encode())
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "cases": cases}))
+    frozen = locks.freeze(spark, tmp_path / "m.json", {"profile": "pilot60"}, "development", tmp_path / "f.json")
+    (tmp_path / "run.json").write_text("{}")
+    artifact = locks.file_contract(tmp_path, "run.json")
+    events = lambda ok: [{"event_id": f"{n}/{e}", "workflow_id": n, "category": c, "success": ok, "false_confirmation": False} for n in names for e, c in (("e1", "action_failure"), ("e2", "other"))]
+    system = lambda name, kind, ok, cost: {"id": name, "kind": kind, "cost_basis": "provider_invoice", "billed_cost_usd_runs": [cost] * 3, "run_artifacts": [artifact] * 3, "events": events(ok)}
+    comparison = {
+        "schema_version": 1, "freeze": "f.json", "freeze_id": frozen["freeze_id"], "requirements": {"bootstrap_samples": 100, "min_events": 6, "min_workflows": 3, "min_action_failures": 3},
+        "review": {"method": "human_blind", "reviewers": ["a", "b"], "adjudicated": True, "artifacts": [artifact]}, "systems": [system("new", "candidate", True, 0.5), system("old", "baseline", False, 1.0)],
+    }
+    locks.write_object(tmp_path / "cmp.json", comparison)
+    assert cli.main(["assess-claim", str(tmp_path / "cmp.json")]) == 1
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    row = out["comparisons"][0]
+    assert row["claim_supported"] and row["cost_claim_supported"] and row["superiority_claim_supported"] and not out["claim_supported"]
+    assert out["global_reasons"] == [claims.REASONS[k] for k in ("held_out", "claim_profile", "preregistered", "profile_complete")]
+    comparison["systems"][1]["events"].pop()
+    locks.write_object(tmp_path / "cmp.json", comparison)
+    assert cli.main(["assess-claim", str(tmp_path / "cmp.json")]) == 2
 
 
 # --- sources and sinks ------------------------------------------------------------------------------------------------
