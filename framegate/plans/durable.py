@@ -1,6 +1,5 @@
 """Cutting lineage with tables in storage that every executor shares."""
 
-import atexit
 import tempfile
 import uuid
 
@@ -22,13 +21,15 @@ def durable(df: DataFrame) -> DataFrame:
     """df as a table written once to the shared folder and read back.
 
     Lost executors cost no recomputation and a nondeterministic input (range bounds, partition numbers) is fixed from here on.
-    The table is compressed and columnar, so later reads prune columns. It is removed when the driver ends.
+    The table is compressed and columnar, so later reads prune columns. The application's folder is removed when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_all)
+    if spark.sparkContext.applicationId not in _written:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,13 +54,3 @@ def drop_table(df: DataFrame) -> None:
         for paths in _written.values():
             if path in paths:
                 paths.remove(path)
-
-
-def _remove_all() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        release(spark)
-    except Exception:  # the JVM may already be gone
-        pass
