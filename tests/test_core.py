@@ -287,6 +287,35 @@ def test_seeded_bootstrap_is_the_plain_loop(spark):
     assert rows(claims.interval95(claims.seeded_draws(sums.limit(0), 40, 5))) == [(0.0, 0.0)]
 
 
+def test_seeded_draws_need_no_list_at_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(claims, "CHOICES", 50)  # samples of 64 and 70 lie across the cuts, of 7 many in one
+    for n in (7, 64, 70):
+        sums = spark.createDataFrame([(i, i * i - 40, i % 3 + 1) for i in range(n)], "workflow_id long, total long, members long").repartition(3)
+        generator = random.Random(9)
+        drawn = [[generator.choice(range(n)) for _ in range(n)] for _ in range(30)]
+        want = [(b + 1, sum(i * i - 40 for i in d), sum(i % 3 + 1 for i in d)) for b, d in enumerate(drawn)]
+        with monkeypatch.context() as m:
+            m.setattr(type(sums), "collect", lambda _: pytest.fail("collected at the driver"))
+            got = claims.seeded_draws(sums, 30, 9)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_claim_seeded_is_the_whole_job(spark):
+    from framegate.catalog.claims import claim_seeded
+
+    folder = "/root/testdata/sf0.001"
+    sums = {}
+    for r in spark.read.parquet(f"{folder}/orders.parquet").collect():
+        total, members = sums.get(r["o_custkey"], (0, 0))
+        sums[r["o_custkey"]] = (total + (r["o_orderstatus"] != "P") - (r["o_totalprice"] < 200000), members + 1)
+    generator, ids, means = random.Random(20260821), sorted(sums), []
+    for _ in range(20000):
+        drawn = [sums[generator.choice(ids)] for _ in ids]
+        means.append(sum(t for t, _ in drawn) / sum(m for _, m in drawn))
+    row = claim_seeded(spark, folder).first()
+    assert (row["accuracy_low"], row["accuracy_high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
 def test_cost(spark):
     data = [("p", s, "provider_invoice", i, c) for s, cs in (("candidate", (0.5, 0.5, 0.5)), ("baseline", (1.0, 1.0, 1.0, 0.0))) for i, c in enumerate(cs)]
     kind = "pair string, system string, basis string, position int, cost double"
