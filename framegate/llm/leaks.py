@@ -21,6 +21,8 @@ TERMS, RANK, EXTRA, KEPT_APART = 4096, 32, 8, 8
 PASSAGE = 32
 #: Items per block of the query side, and words of the texts searched at a time.
 BLOCK, LOT_WORDS = 2000, 50_000
+#: Pairs of windows compared at a time.
+PAIRS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,23 @@ def _common(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def _commons(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for many pairs of windows, row by row of hashes: a bit for each word of b, cleared as the subsequence grows."""
+    open_ = np.full(len(a), (1 << WINDOW) - 1, np.uint32)
+    for i in range(WINDOW):
+        match = np.zeros(len(a), np.uint32)
+        for j in range(WINDOW):
+            match |= (a[:, i] == b[:, j]).astype(np.uint32) << np.uint32(j)
+        used = open_ & match
+        open_ = (open_ + used) | (open_ - used)
+    return WINDOW - np.bitwise_count(open_ & np.uint32((1 << WINDOW) - 1)).astype(np.int64)
+
+
+def _bags(windows: np.ndarray) -> np.ndarray:
+    """A bit for each word of a window, of 64 that the words share: a word whose bit another window lacks is not in it."""
+    return np.bitwise_or.reduce(np.uint64(1) << (windows & 63).astype(np.uint64), axis=1)
+
+
 def _search(space: LatentSpace, items: list[tuple[int, list[str], np.ndarray]], least_cosine: float, least_shared: int, least_common: int):
     """Per text the items with a candidate window, with their longest verbatim run and best common subsequence."""
     item_of = np.repeat(np.arange(len(items)), [len(w) - WINDOW + 1 for _, w, _ in items])
@@ -127,24 +146,37 @@ def _search(space: LatentSpace, items: list[tuple[int, list[str], np.ndarray]],
     probes = np.vstack([space.windows(h, np.arange(len(h) - WINDOW + 1)) for _, _, h in items]).astype(np.float32)
     marks = np.concatenate([_marks(h) for _, _, h in items])
     known = np.unique(np.concatenate([h for _, _, h in items]))
+    asked_words = np.vstack([np.lib.stride_tricks.sliding_window_view(h, WINDOW) for _, _, h in items])
+    asked_bags = _bags(asked_words)
+    apart = WINDOW - least_common  # words of either window that the other may lack
 
-    def pairs(flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in begin, probe, cosine) of all pairs that are similar enough. Windows of equal words are compared once."""
+    def pairs(flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position in begin, probe, cosine, common words by hash) of all pairs that are similar enough and have enough words in the same order.
+        Windows of equal words are compared once."""
         distinct, first, copy = np.unique(_marks(flat)[begin], return_index=True, return_inverse=True)
-        rows, columns, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        for i in range(0, len(distinct), 1024):
-            cosine = space.windows(flat, begin[first[i : i + 1024]]).astype(np.float32) @ probes.T
-            r, c = np.nonzero(cosine >= least_cosine)
+        rows, columns, values, common = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+        step = max(1, PAIRS // len(probes))
+        for i in range(0, len(distinct), step):
+            starts = begin[first[i : i + step]]
+            windows = flat[starts[:, None] + np.arange(WINDOW)]
+            bags = _bags(windows)
+            cosine = space.windows(flat, starts).astype(np.float32) @ probes.T
+            r, c = np.nonzero((cosine >= least_cosine) & (np.bitwise_count(bags[:, None] & ~asked_bags) <= apart))
+            near = np.bitwise_count(asked_bags[c] & ~bags[r]) <= apart
+            r, c = r[near], c[near]
+            n = _commons(windows[r], asked_words[c])
+            r, c, n = r[n >= least_common], c[n >= least_common], n[n >= least_common]
             rows.append(r + i)
             columns.append(c)
             values.append(cosine[r, c])
-        r, c, v = map(np.concatenate, (rows, columns, values))
+            common.append(n)
+        r, c, v, n = map(np.concatenate, (rows, columns, values, common))
         count = np.bincount(r, minlength=len(distinct))
         offset = np.r_[0, np.cumsum(count)][:-1]
         per = count[copy]
         which = np.repeat(np.arange(len(begin)), per)
         at = np.repeat(offset[copy] - np.r_[0, np.cumsum(per)][:-1], per) + np.arange(len(which))
-        return which, c[at], v[at]
+        return which, c[at], v[at], n[at]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in (part for frame in frames for part in _lots(frame)):
@@ -158,14 +190,15 @@ def _search(space: LatentSpace, items: list[tuple[int, list[str], np.ndarray]],
             begin = begin[(owner[begin] == owner[begin + WINDOW - 1]) & (hit[begin + WINDOW] - hit[begin] >= least_shared)]
             out: list[tuple] = []
             if len(begin):
-                which, probe, cosine = pairs(flat, begin)
+                which, probe, cosine, hashed = pairs(flat, begin)
                 at, doc, item = begin[which], owner[begin[which]], item_of[probe]
                 pair = doc * len(items) + item
                 same = _marks(flat)[at] == marks[probe]
                 longest = _runs(pair[same], at[same], start_of[probe[same]])
-                order = np.lexsort((-start_of[probe], -at, cosine, pair))
-                best = order[np.r_[pair[order][1:] != pair[order][:-1], True]] if len(order) else order
-                for k in best:
+                order = np.lexsort((-start_of[probe], -at, cosine, hashed, pair))[::-1]
+                cuts = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1], True]) if len(order) else np.zeros(1, np.int64)
+                for own in (order[i:j] for i, j in zip(cuts[:-1], cuts[1:])):
+                    k = own[0]
                     d, n = int(doc[k]), int(item[k])
                     words, asked = f["words"].iloc[d], items[n][1]
                     run_words = 0
@@ -173,10 +206,15 @@ def _search(space: LatentSpace, items: list[tuple[int, list[str], np.ndarray]],
                         p = w - ends[d]
                         if length + WINDOW - 1 > run_words and list(words[p : p + length + WINDOW - 1]) == asked[s : s + length + WINDOW - 1]:
                             run_words = int(length + WINDOW - 1)
-                    p, s = at[k] - ends[d], start_of[probe[k]]
-                    common = WINDOW if run_words else _common(list(words[p : p + WINDOW]), asked[s : s + WINDOW])
+                    common, best = (WINDOW, k) if run_words else (0, k)
+                    for k in own:  # hashes have as many words in common as the words, or more
+                        if common >= hashed[k]:
+                            break
+                        p, s = at[k] - ends[d], start_of[probe[k]]
+                        if (exact := _common(list(words[p : p + WINDOW]), asked[s : s + WINDOW])) > common:
+                            common, best = exact, k
                     if common >= least_common:
-                        out.append((f["key"].iloc[d], items[n][0], float(min(1.0, cosine[k])), run_words, common))
+                        out.append((f["key"].iloc[d], items[n][0], float(min(1.0, cosine[best])), run_words, common))
             yield pd.DataFrame(out, columns=["key", "item_id", "cosine", "run_words", "common_words"])
 
     return run
@@ -214,13 +252,14 @@ def leaked_items(
     """Which items' passages stand in which texts; columns key, item_id, cosine, run_words, common_words.
 
     run_words is the longest passage of at least ten consecutive words that item and text share (0: none), common_words the longest common
-    subsequence of their most similar ten-word windows, cosine the similarity of these. A pair with run_words 0 is a
+    subsequence of any two of their ten-word windows that are similar enough, cosine the highest similarity of windows with so many. A pair with run_words 0 is a
     paraphrase: at least least_common of ten words in the same order. Words are runs of letters and digits in lower case after
     both texts are brought to their look-alike form. Null and empty texts, and items of under ten words, never match.
 
     Latent semantic retrieval: the TF-IDF passages of all texts are reduced by a randomised SVD; every ten-word window of every text with at
     least least_shared words that occur in items at all is placed in the latent space and compared with every ten-word window of
-    every item. An equal window has an equal vector, so each verbatim leak is among the candidates; words decide. Items are the
+    every item. An equal window has an equal vector, so each verbatim leak is among the candidates. All candidates with enough words in
+    the same order count, not the most similar one alone; hashes sort them out and words decide. Items are the
     query side, in blocks of BLOCK, each broadcast; key and item_key are longs.
     """
     spark: SparkSession = docs.sparkSession

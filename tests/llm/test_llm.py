@@ -281,6 +281,22 @@ def test_leaks_run_length_paraphrase_and_blocks(spark, monkeypatch):
     assert got[1, 7] == (12, 10) and got[2, 7][0] == 0 and got[2, 7][1] >= 8 and (3, 7) not in got and all(i == 7 for _, i in got)
 
 
+def test_leaks_try_every_window_of_a_text(spark):
+    item = "the striped ribbon gets a number before golden postcard leaves"
+    other = "number golden ribbon before the leaves postcard a striped gets"  # the same words, a cosine of 1, few in order
+    docs = [(1, f"{other} filler words between the two {item.replace('golden', 'silver')} end"), (2, other), *[(i, f"silver filler words number {i}") for i in range(3, 40)]]
+    docs, items = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(7, item)], "item long, t string")
+    assert rows(leaks.leaked_items(docs, "id", "text", items, "item", "t"), "id", "item_id", "run_words", "common_words") == [(1, 7, 0, 9)]
+
+
+def test_common_words_of_many_windows():
+    import numpy as np
+
+    a, b = np.random.default_rng(4).integers(0, 6, (2, 500, 10))
+    b[:100] = np.roll(a[:100], 1, axis=1)
+    assert leaks._commons(a, b).tolist() == [leaks._common(list(x), list(y)) for x, y in zip(a, b)]
+
+
 # --- 9: look-alikes ---------------------------------------------------------------------------------------------------
 
 ALIKE = [("é", "é"), ("ﾊﾞ", "バ"), ("Ａｂ１", "Ab1"), ("аudіo", "audio"), ("a­b​", "ab"), ("a　b", "a b"), ("Ό", "Ó"), ("한", "한"), ("ё", "ë"), ("e‍́", "é"), ("Ω", "Ω")]
