@@ -247,7 +247,7 @@ def _runs(pair: np.ndarray, at: np.ndarray, start: np.ndarray) -> dict[int, list
 
 
 def leaked_items(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_cosine: float = 0.85, least_shared: int = 8, least_common: int = 8
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_cosine: float = 0.5, least_shared: int = 8, least_common: int = 8
 ) -> DataFrame:
     """Which items' passages stand in which texts; columns key, item_id, cosine, run_words, common_words.
 
@@ -259,7 +259,8 @@ def leaked_items(
     Latent semantic retrieval: the TF-IDF passages of all texts are reduced by a randomised SVD; every ten-word window of every text with at
     least least_shared words that occur in items at all is placed in the latent space and compared with every ten-word window of
     every item. An equal window has an equal vector, so each verbatim leak is among the candidates. All candidates with enough words in
-    the same order count, not the most similar one alone; hashes sort them out and words decide. Items are the
+    the same order count, not the most similar one alone; hashes sort them out and words decide. least_cosine is low enough for two
+    replaced words of ten, also where these weigh most; a paraphrase below it is lost. Items are the
     query side, in blocks of BLOCK, each broadcast; key and item_key are longs.
     """
     spark: SparkSession = docs.sparkSession

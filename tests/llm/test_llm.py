@@ -289,6 +289,28 @@ def test_leaks_try_every_window_of_a_text(spark):
     assert rows(leaks.leaked_items(docs, "id", "text", items, "item", "t"), "id", "item_id", "run_words", "common_words") == [(1, 7, 0, 9)]
 
 
+def test_leaks_find_paraphrases_of_eight_words(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 1501)
+    draw = lambda n: rng.choice(1500, n, p=share / share.sum())
+    items, docs = [draw(14) for _ in range(40)], []
+    for i in range(240):
+        window = items[i % 40][i // 40 % 5 :][:10].copy()
+        window[rng.choice(10, 2, replace=False)] = rng.integers(0, 8, 2)  # common words weigh most in the main directions
+        docs.append(np.r_[draw(15), window, draw(15)])
+    cut = lambda a: np.lib.stride_tricks.sliding_window_view(a, 10)
+    probes, of = np.vstack([cut(a) for a in items]), np.repeat(np.arange(40), 5)
+    want = set()
+    for d, a in enumerate(docs):
+        at = leaks._commons(np.repeat(cut(a), len(probes), axis=0), np.tile(probes, (len(a) - 9, 1))).reshape(-1, len(probes))
+        want |= {(d, int(of[j])) for j in np.flatnonzero((at >= 8).any(axis=0))}
+    frame = lambda data, kind: spark.createDataFrame([(i, " ".join(f"w{x}" for x in a)) for i, a in enumerate(data)], kind)
+    got = set(rows(leaks.leaked_items(frame(docs, "id long, text string"), "id", "text", frame(items, "item long, t string"), "item", "t"), "id", "item_id"))
+    assert got <= want and len(want) >= 240 and len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
 def test_common_words_of_many_windows():
     import numpy as np
 
