@@ -21,8 +21,8 @@ def gate_rows(spark: SparkSession, folder: str) -> DataFrame:
 _KEEP = ("media_id", "sequence_no", "frame_index", "reason", "discovery")
 
 
-def _view(events: DataFrame) -> DataFrame:
-    return events.select(*_KEEP, F.round("change_fraction", 6).alias("change_fraction"), "peak_frame_index")
+def _view(events: DataFrame, *more: str) -> DataFrame:
+    return events.select(*_KEEP, F.round("change_fraction", 6).alias("change_fraction"), "peak_frame_index", *more)
 
 
 def gate_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +62,7 @@ def gate_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """The same events by a streaming query over files; rows only, tests hold them against gate_events."""
+    """The same events by a streaming query over files, with their status ('event': no interpreter is given); rows only, tests hold them against gate_events."""
     import uuid
 
     from framegate.plans.durable import durable, shared_folder
@@ -73,7 +73,7 @@ def stream_gate(spark: SparkSession, folder: str) -> DataFrame:
     source = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     query = live_gate(source, SLOW).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return _view(spark.read.parquet(f"{place}/out"))
+    return _view(spark.read.parquet(f"{place}/out"), "status")
 
 
 QUERIES = {f.__name__: f for f in (gate_events, gate_flush, gate_forced, gate_snapshots, gate_appended, gate_totals, stream_gate)}

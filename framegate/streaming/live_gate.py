@@ -63,8 +63,11 @@ class Session:
             self.history.popitem(last=False)
         return self._enqueue(event)
 
+    def full(self) -> bool:
+        return len(self.queue) >= self.streaming.pending_events
+
     def _enqueue(self, event: tuple) -> list[tuple]:
-        if len(self.queue) >= self.streaming.pending_events:
+        if self.full():
             self.overflowed += 1
             return [(*event, "failed", 0, None, "queue is full", len(self.queue))]
         self.queue.append(event)
@@ -96,7 +99,8 @@ def live_gate(rows: DataFrame, gate: Gate = Gate(), streaming: Streaming = Strea
 
     Per key and micro-batch, rows are taken in order of (timestamp_s, frame_index), controls after frames; across micro-batches in order of
     arrival. Control rows stand for the calls of a live source: 'verify', 'snapshot', 'detail' (newest frame of the ring), 'retry'
-    (frame_index holds the sequence number; nothing if the history has let it go) and 'end'. A micro-batch that is run again after a
+    (frame_index holds the sequence number; nothing if the history has let it go) and 'end'. The queue is emptied whenever it is full, so each
+    event is interpreted, however many rows a micro-batch has. A micro-batch that is run again after a
     failure gives the same rows; interpreters are called at least once per event.
     """
     kind = rows.schema["media_id"].dataType.simpleString()
@@ -108,6 +112,8 @@ def live_gate(rows: DataFrame, gate: Gate = Gate(), streaming: Streaming = Strea
         new = pd.concat(list(frames), ignore_index=True).sort_values(["timestamp_s", "frame_index", "control"], na_position="first", kind="stable")
         out = []
         for _, row in rows_of(new):
+            if session.full():  # rows wait here as a source waits, so the queue does not overflow by the size of a micro-batch
+                out += session.drain(interpret)
             out += session.feed(row)
         out += session.drain(interpret)
         held.update((session.dump(),))

@@ -218,6 +218,21 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert gate.run_gate(given.limit(0), slow, flush=True).count() == 0
 
 
+def test_stream_interprets_every_event_of_a_large_batch(spark, tmp_path):
+    from framegate.catalog.gate import gate_events, stream_gate
+
+    given = gate.gate_input(spark.range(60).selectExpr("'a' media_id", "id frame_index", "double(id) timestamp_s"), F.lit(False), F.lit(0.0), F.lit("none"), control=F.lit("snapshot"))
+    given.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
+    live = live_gate(source, Gate(), Streaming(pending_events=4), lambda event, last: f"{event['sequence_no']} after {last and last.split()[0]}")
+    live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "sequence_no", "status", "interpretation")
+    assert got == sorted(((i, "completed", f"{i} after {i - 1 if i else None}") for i in range(60)), key=repr)
+    folder = "/root/testdata/sf0.001"
+    events = stream_gate(spark, folder)
+    assert rows(events.drop("status")) == rows(gate_events(spark, folder)) and rows(events.select("status").distinct()) == [("event",)]
+
+
 # --- matching and reviews ---------------------------------------------------------------------------------------------
 
 
