@@ -131,7 +131,9 @@ def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str) -> DataFra
     any order. Per entity both sides are buffered in state; once the watermark (newest time less `delay`) passes a left row's
     horizon it is emitted with its nearest right row, or dropped if there is none. Right rows older than the watermark by
     max_tolerance can match nothing that is still to come and are evicted. Rows that come behind the watermark are late and
-    dropped by Spark. A null or NaN tolerance is 0; one above max_tolerance is cut to it, which the source must rule out.
+    dropped by Spark. A null or NaN tolerance is 0; one above max_tolerance is an error, since its right rows may be gone. A repeated left
+    id waits until all its rows so far are past their horizon and gives its nearest match; rows of it that come after that, or under another
+    entity, give a match of their own.
     """
     seen = rows.where("entity is not null and at is not null and id is not null").withWatermark("at", delay)
     state = "at array<double>, side array<int>, id array<long>, tolerance array<double>"
@@ -143,14 +145,21 @@ def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str) -> DataFra
             parts.append(pd.DataFrame(dict(zip(["at", "side", "id", "tolerance"], map(np.asarray, held.get)))))
         for f in frames:
             seconds = f["at"].astype("datetime64[us]").astype("int64") / 1e6
-            parts.append(pd.DataFrame({"at": seconds, "side": f["side"], "id": f["id"], "tolerance": f["tolerance"].fillna(0.0).clip(upper=max_tolerance)}))
-        all_rows = pd.concat(parts, ignore_index=True).sort_values(["at", "side", "id"], ignore_index=True)
+            parts.append(pd.DataFrame({"at": seconds, "side": f["side"], "id": f["id"], "tolerance": f["tolerance"].fillna(0.0)}))
+        all_rows = pd.concat(parts, ignore_index=True).sort_values(["at", "side", "id", "tolerance"], ascending=[True, True, True, False], ignore_index=True)
+        beyond = all_rows[(all_rows["side"] == 1) & (all_rows["tolerance"] > max_tolerance)]
+        if len(beyond):
+            raise ValueError(f"tolerance {beyond['tolerance'].iloc[0]} of left row {beyond['id'].iloc[0]} of {key[0]} is above max_tolerance {max_tolerance}")
         mark = held.getCurrentWatermarkMs() / 1000
-        ready = (all_rows["side"] == 1) & (all_rows["at"] + all_rows["tolerance"] < mark)
+        lefts = all_rows["side"] == 1
+        early = lefts & (all_rows["at"] + all_rows["tolerance"] >= mark)
+        ready = lefts & ~all_rows["id"].isin(all_rows.loc[early, "id"])
+        waiting = lefts & ~ready
         asked = all_rows[ready | (all_rows["side"] == 0)].drop_duplicates(["at", "side", "id"]).reset_index(drop=True)
         rights = asked[asked["side"] == 0].drop_duplicates("at")
         found = settle(pd.concat([rights, asked[asked["side"] == 1]]).sort_values(["at", "side"], ignore_index=True), np.zeros(len(rights) + int((asked["side"] == 1).sum()), np.int64))
-        rest = all_rows[((all_rows["side"] == 1) & ~ready) | ((all_rows["side"] == 0) & (all_rows["at"] + max_tolerance >= mark))]
+        since = min([mark, *all_rows.loc[waiting, "at"]]) - max_tolerance - _SLACK
+        rest = all_rows[waiting | (~lefts & (all_rows["at"] >= since))]
         if len(rest):
             held.update(tuple(rest[c].tolist() for c in ("at", "side", "id", "tolerance")))
             horizon = float((rest["at"] + np.where(rest["side"] == 1, rest["tolerance"], max_tolerance)).min())
@@ -158,6 +167,6 @@ def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str) -> DataFra
         elif held.exists:
             held.remove()
         found.insert(0, "entity", key[0])
-        yield found.groupby("left_id", as_index=False).first()[["entity", "left_id", "right_id", "distance"]] if len(found) else found
+        yield found.sort_values(["left_id", "distance", "right_id"]).groupby("left_id", as_index=False).first()[["entity", "left_id", "right_id", "distance"]] if len(found) else found
 
     return seen.groupBy("entity").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.EventTimeTimeout)

@@ -197,6 +197,25 @@ def test_nearest_stream_waits_for_the_horizon(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "left_id", "right_id") == brute_nearest(left, right)
 
 
+def test_nearest_stream_takes_the_nearest_of_a_repeated_id_and_no_wide_tolerance(spark, tmp_path):
+    def run(name, *batches):
+        for n, batch in enumerate(batches):
+            df = spark.createDataFrame(batch, "entity string, side int, t double, id long, tolerance double")
+            df.select("entity", "side", F.timestamp_seconds("t").alias("at"), "id", "tolerance").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        source = spark.readStream.schema("entity string, side int, at timestamp, id long, tolerance double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "in"))
+        stream = nearest.nearest_stream(source, 5.0, "1 seconds").writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "log"))
+        stream.trigger(availableNow=True).start().awaitTermination()
+        return rows(spark.read.parquet(str(tmp_path / name / "out")), "left_id", "right_id", "distance")
+
+    end = [("a", 0, 900.0, 9, 0.0)]
+    once = [("a", 1, 10.0, 1, 5.0), ("a", 1, 20.0, 1, 5.0), ("a", 1, 20.0, 1, 0.1), ("a", 0, 13.0, 100, 0.0), ("a", 0, 20.5, 101, 0.0)]
+    assert run("once", once, end) == [(1, 101, 0.5)]
+    held = [("a", 1, 100.0, 2, 1.0), ("a", 0, 100.25, 200, 0.0), ("a", 1, 120.0, 2, 5.0), ("a", 0, 121.0, 201, 0.0)]  # the second row keeps the first and its right row
+    assert run("held", held, [("a", 0, 122.0, 202, 0.0)], [("a", 0, 123.0, 203, 0.0)], end) == [(2, 200, 0.25)]
+    with pytest.raises(Exception, match="above max_tolerance"):
+        run("wide", [("a", 1, 10.0, 3, 50.0), ("a", 0, 40.0, 300, 0.0)], end)
+
+
 # --- 6: one ranking ---------------------------------------------------------------------------------------------------
 
 PANEL = "v string, i long, build string, a double, b double, c double, d double"
