@@ -16,11 +16,16 @@ SAME_SHAPE = (
     # Cyrillic and Latin
     ("АВЕЅІЈКМНОРСТХԚԜ", "ABESIJKMHOPCTXQW"),
     ("асԁеһіјорԛѕѵԝху", "acdehijopqsvwxy"),
+    ("\u04ae\u04af\u04c0\u04cf\u0474\u050c\u04e0\u04e1", "YyIlVG\u01b7\u0292"),
     # Greek and Latin
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ABEZHIKMNOPTYXCj"),
     ("αινορυγϲ", "aivopuyc"),
+    ("\u037f\u03fa\u03dc\u03f7\u03f8\u03a3", "JMF\u00de\u00fe\u01a9"),
     # Greek and Cyrillic
     ("ΓΠΦκ", "ГПФк"),
+    ("\u0470\u0471\u0398\u0376\u0377", "\u03a8\u03c8\u04e8\u0418\u0438"),
+    # Within one alphabet, and those for which the one with accented letters of its own stands
+    ("\u018f\u0259\u01dd\u00d0\u0189\u019f\u0472\u0473\u0275\u025b\u00b5", "\u04d8\u04d9\u04d9\u0110\u0110\u04e8\u04e8\u04e9\u04e9\u03b5\u03bc"),
 )
 # Characters without width beside those of category Cf, and those of Cf that are drawn.
 WIDTHLESS = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))

@@ -355,6 +355,32 @@ def test_form():
         assert lookalike.look(lookalike.look(t)) == lookalike.look(t), ascii(t)
 
 
+#: By Unicode name, not from the operator's table.
+SHAPES = [
+    ("LATIN CAPITAL LETTER Y", "GREEK CAPITAL LETTER UPSILON", "CYRILLIC CAPITAL LETTER STRAIGHT U"), ("LATIN SMALL LETTER Y", "CYRILLIC SMALL LETTER U", "CYRILLIC SMALL LETTER STRAIGHT U"),
+    ("LATIN CAPITAL LETTER I", "GREEK CAPITAL LETTER IOTA", "CYRILLIC LETTER PALOCHKA"), ("LATIN SMALL LETTER L", "CYRILLIC SMALL LETTER PALOCHKA"),
+    ("LATIN CAPITAL LETTER J", "GREEK CAPITAL LETTER YOT", "CYRILLIC CAPITAL LETTER JE"), ("GREEK CAPITAL LETTER PSI", "CYRILLIC CAPITAL LETTER PSI"), ("GREEK SMALL LETTER PSI", "CYRILLIC SMALL LETTER PSI"),
+    ("LATIN CAPITAL LETTER V", "CYRILLIC CAPITAL LETTER IZHITSA"), ("LATIN CAPITAL LETTER G", "CYRILLIC CAPITAL LETTER KOMI SJE"), ("LATIN CAPITAL LETTER SCHWA", "CYRILLIC CAPITAL LETTER SCHWA"),
+    ("LATIN SMALL LETTER SCHWA", "CYRILLIC SMALL LETTER SCHWA", "LATIN SMALL LETTER TURNED E"), ("LATIN CAPITAL LETTER EZH", "CYRILLIC CAPITAL LETTER ABKHASIAN DZE"), ("LATIN SMALL LETTER EZH", "CYRILLIC SMALL LETTER ABKHASIAN DZE"),
+    ("LATIN CAPITAL LETTER M", "GREEK CAPITAL LETTER SAN", "CYRILLIC CAPITAL LETTER EM"), ("LATIN CAPITAL LETTER F", "GREEK LETTER DIGAMMA"), ("LATIN CAPITAL LETTER THORN", "GREEK CAPITAL LETTER SHO"),
+    ("LATIN SMALL LETTER THORN", "GREEK SMALL LETTER SHO"), ("LATIN CAPITAL LETTER ESH", "GREEK CAPITAL LETTER SIGMA"), ("LATIN SMALL LETTER OPEN E", "GREEK SMALL LETTER EPSILON"),
+    ("GREEK CAPITAL LETTER THETA", "CYRILLIC CAPITAL LETTER FITA", "CYRILLIC CAPITAL LETTER BARRED O", "LATIN CAPITAL LETTER O WITH MIDDLE TILDE"), ("LATIN SMALL LETTER BARRED O", "CYRILLIC SMALL LETTER BARRED O", "CYRILLIC SMALL LETTER FITA"),
+    ("GREEK CAPITAL LETTER PAMPHYLIAN DIGAMMA", "CYRILLIC CAPITAL LETTER I"), ("GREEK SMALL LETTER PAMPHYLIAN DIGAMMA", "CYRILLIC SMALL LETTER I"),
+    ("LATIN CAPITAL LETTER D WITH STROKE", "LATIN CAPITAL LETTER ETH", "LATIN CAPITAL LETTER AFRICAN D"), ("MICRO SIGN", "GREEK SMALL LETTER MU"),
+]
+
+
+def test_same_shape_is_whole(spark):
+    import unicodedata
+
+    groups = [[unicodedata.lookup(n) for n in names] for names in SHAPES]
+    forms = [{lookalike.look(c) for c in g} for g in groups]
+    assert all(len(f) == 1 for f in forms) and len(set().union(*forms)) == len(groups)
+    assert all(lookalike.look(f) == f for own in forms for f in own)
+    df = spark.createDataFrame([(i * 10 + k, f"x{c}z") for i, g in enumerate(groups) for k, c in enumerate(g)], "id long, text string")
+    assert rows(lookalike.lookalike_pairs(df, "id", "text")) == sorted(((i * 10 + a, i * 10 + b) for i, g in enumerate(groups) for b in range(len(g)) for a in range(b)), key=repr)
+
+
 def test_pairs(spark):
     texts = ["abc", "abc", "аbс", "ABC", None, "", "​", " ", "　\t", "x​y", "xy", "plain"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumns({"form": F.lit(1), "_text": F.lit(2), "_unstable": F.lit(3)})
