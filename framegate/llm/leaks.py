@@ -33,7 +33,7 @@ HELD, SPLIT = 8_000, 200_000
 #: Text windows taken at a time.
 LOT = 20_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_WINDOWS = "m1 long, m2 long, hashes binary, terms binary"
+_WINDOWS = "m1 long, m2 long, hashes binary"
 _PAIRS = "m1 long, m2 long, p1 long, p2 long, cosine double, common int"
 
 
@@ -67,12 +67,8 @@ def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _hashes(words: Column) -> Column:
-    """64 bits of each word, never 0."""
-    return F.transform(words, lambda w: F.coalesce(F.nullif(F.xxhash64(w), F.lit(0)), F.lit(1)).cast("long"))
-
-
-def _terms(hashes: Column) -> Column:
-    return F.transform(hashes, lambda h: F.pmod(h, F.lit(TERMS)).cast("short"))
+    """62 bits of each word above the one that is always set. The lowest bits are its hashed term, which is all that a word keeps that no item has."""
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(1 << 62)))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +86,8 @@ def _sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wide = RANK + EXTRA
     total = np.zeros((TERMS, wide + 2))
     for batch in frames:
-        terms, offsets = _flat(batch.column(0))
+        hashes, offsets = _flat(batch.column(0))
+        terms = (hashes & (TERMS - 1)).astype(np.int16)
         per = -(-np.diff(offsets) // PASSAGE)
         first = np.repeat(offsets[:-1], per) + PASSAGE * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
         first = np.r_[first, len(terms)]
@@ -101,9 +98,11 @@ def _sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             latent = np.add.reduceat(probe[own], cut[:-1] - cut[0], axis=0)
             passage = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
             order = np.argsort(own, kind="stable")
-            found, at = np.unique(own[order], return_index=True)
-            total[found, :wide] += np.add.reduceat(latent[passage[order]], at, axis=0)
-            total[:, wide] += np.bincount(np.unique(passage * TERMS + own) % TERMS, minlength=TERMS)
+            own, passage = own[order], passage[order]
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            total[own[at], :wide] += np.add.reduceat(latent[passage], at, axis=0)
+            other = np.r_[True, (own[1:] != own[:-1]) | (passage[1:] != passage[:-1])]
+            total[:, wide] += np.bincount(own[other], minlength=TERMS)
     part, rows = TaskContext.get().partitionId(), 256
     blocks = range(0, TERMS, rows)
     yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "part": pa.array([part] * len(blocks), pa.int32()), "data": [total[b : b + rows].tobytes() for b in blocks]})
@@ -128,18 +127,18 @@ def _tree_sum(parts: DataFrame, count: int) -> DataFrame:
 
 
 def fit_space(corpus: DataFrame) -> LatentSpace:
-    """A randomised SVD of the TF-IDF matrix of all passages, from one reading of the corpus. corpus: terms (array of short).
+    """A randomised SVD of the TF-IDF matrix of all passages, from one reading of the corpus. corpus: hashes.
 
     With C the counts by passage and term and W the diagonal of inverse frequencies, the matrix is A = CW. One pass gives C'C times a random
     matrix R and the frequencies; W C'C R = A'A (R / W) is a sketch of A'A, and Nystroem's formula takes its main directions
     from the sketch alone. All texts count. Each task sends one TERMS x (RANK + EXTRA + 2) matrix to a tree of sums, of which the
     driver sees the root.
     """
-    terms = corpus.select("terms")
-    parts = terms.mapInArrow(_sketch, "block int, part int, data binary")
+    words = corpus.select("hashes")
+    parts = words.mapInArrow(_sketch, "block int, part int, data binary")
     wide = RANK + EXTRA
     total = np.zeros((TERMS, wide + 2))
-    for block, _, data in _tree_sum(parts, terms.rdd.getNumPartitions()).collect():
+    for block, _, data in _tree_sum(parts, words.rdd.getNumPartitions()).collect():
         own = np.frombuffer(data).reshape(-1, wide + 2)
         total[block : block + len(own)] += own
     sketch, frequency, passages = total[:, :wide], total[:, wide], total[0, wide + 1]
@@ -180,26 +179,24 @@ def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
-def _window_batch(lead: dict, hashes: np.ndarray, terms: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(lead | {"m1": _marks(hashes, _MIX[0]), "m2": _marks(hashes, _MIX[1]), "hashes": _bytes(hashes), "terms": _bytes(terms)})
+def _window_batch(lead: dict, hashes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(lead | {"m1": _marks(hashes, _MIX[0]), "m2": _marks(hashes, _MIX[1]), "hashes": _bytes(hashes)})
 
 
-def _windows(keep: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """Rows (row, key, at, window) of lists of words; keep(hashes, starts) says which windows count. In: row, key, terms, hashes."""
+def _windows(keep: Callable[[np.ndarray], np.ndarray] | None = None):
+    """Rows (row, key, at, window) of lists of words; keep(hashes) gives the starts of the windows that count. In: row, key, hashes."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            terms, offsets = _flat(batch.column(2))
-            hashes, _ = _flat(batch.column(3))
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            starts = np.arange(max(0, len(hashes) - WINDOW + 1))
-            starts = starts[owner[starts] == owner[starts + WINDOW - 1]]
-            starts = starts[keep(hashes, starts)] if len(starts) else starts
-            row, key = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            hashes, offsets = _flat(batch.column(2))
+            starts = np.arange(max(0, len(hashes) - WINDOW + 1)) if keep is None else keep(hashes)
+            owner = np.searchsorted(offsets, starts, side="right") - 1
+            inside = starts + WINDOW <= offsets[owner + 1]
+            starts, owner = starts[inside], owner[inside]
+            row, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i in range(0, len(starts), LOT):
-                s = starts[i : i + LOT]
-                spot = s[:, None] + np.arange(WINDOW)
-                yield _window_batch({"row": row[owner[s]], "key": key[owner[s]], "at": s - offsets[owner[s]]}, hashes[spot], terms[spot])
+                s, own = starts[i : i + LOT], owner[i : i + LOT]
+                yield _window_batch({"row": row[own], "key": key[own], "at": s - offsets[own]}, hashes[s[:, None] + np.arange(WINDOW)])
 
     return run
 
@@ -214,7 +211,7 @@ def _bits(slots: list, dtype=np.int64) -> np.ndarray:
 def _filters(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The bits of all words of items, and of all neighbours: at most FILTER_BITS / 64 numbers each, whatever the items."""
     slots = lambda at: (F.shiftright(at, 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    single = asked.select(F.explode("hashes").alias("h")).select(*slots(F.pmod("h", F.lit(FILTER_BITS))))
+    single = asked.select(F.explode("hashes").alias("h")).select(*slots(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))))
 
     def pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -227,21 +224,25 @@ def _filters(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(_bits(d.groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect()) for d in (single, double))
 
 
-def _possible(spark, neighbours: np.ndarray, least_common: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def _possible(spark, neighbours: np.ndarray, least_common: int) -> Callable[[np.ndarray], np.ndarray]:
     """Which windows of texts can have least_common words in the order of some item's window: so many words of theirs are words of items, and
     among as many in order, with WINDOW - least_common left out on either side, some follow each other on both sides."""
     follow = 3 * least_common - 2 * WINDOW - 1
     shared = spark.sparkContext.broadcast(neighbours)
 
-    def keep(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        known = hashes != 0
+    def keep(hashes: np.ndarray) -> np.ndarray:
+        if len(hashes) < WINDOW:
+            return np.zeros(0, np.int64)
+        known = hashes >= TERMS
         both = np.flatnonzero(known[:-1] & known[1:])
         bits = shared.value.view(np.uint64)
         at = _neighbours(hashes[both], hashes[both + 1])
         pair = np.zeros(len(hashes), bool)
         pair[both] = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        words, pairs = np.r_[0, np.cumsum(known)], np.r_[0, np.cumsum(pair)]
-        return (words[starts + WINDOW] - words[starts] >= least_common) & (pairs[starts + WINDOW - 1] - pairs[starts] >= follow)
+        words = np.r_[0, np.cumsum(known, dtype=np.int32)]
+        starts = np.flatnonzero(words[WINDOW:] - words[:-WINDOW] >= least_common)
+        pairs = np.r_[0, np.cumsum(pair, dtype=np.int32)]
+        return starts[pairs[starts + WINDOW - 1] - pairs[starts] >= follow]
 
     return keep
 
@@ -290,9 +291,8 @@ class _Side:
 
     @classmethod
     def of(cls, table: pa.Table | pa.RecordBatch, space: LatentSpace) -> "_Side":
-        raw = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(-1, WINDOW)
-        hashes = raw("hashes", np.int64)
-        return cls(table["m1"].to_numpy(), table["m2"].to_numpy(), hashes, _bags(hashes), space.places(raw("terms", np.int16)))
+        hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.int64).reshape(-1, WINDOW)
+        return cls(table["m1"].to_numpy(), table["m2"].to_numpy(), hashes, _bags(hashes), space.places(hashes & (TERMS - 1)))
 
     def take(self, rows: np.ndarray) -> "_Side":
         return _Side(self.m1[rows], self.m2[rows], self.hashes[rows], self.bags[rows], self.places[rows])
@@ -367,7 +367,7 @@ def _pairs_held(windows: DataFrame, probes: DataFrame, space: LatentSpace, centr
                 part = own.take(np.flatnonzero((near == c).any(axis=1)))
                 yield _pair_batch(part, cells[c], _compare(part, cells[c], least_cosine, least_common))
 
-    return windows.select("m1", "m2", "hashes", "terms").mapInArrow(run, _PAIRS)
+    return windows.select("m1", "m2", "hashes").mapInArrow(run, _PAIRS)
 
 
 def _pairs_shuffled(windows: DataFrame, probes: DataFrame, space: LatentSpace, centres: np.ndarray, least_cosine: float, least_common: int) -> DataFrame:
@@ -392,7 +392,7 @@ def _pairs_shuffled(windows: DataFrame, probes: DataFrame, space: LatentSpace, c
         return F.get(F.lit(parts), F.col("cell"))
 
     kinds = f"{_WINDOWS}, cells array<int>"
-    columns = ("m1", "m2", "hashes", "terms")
+    columns = ("m1", "m2", "hashes")
     asked = durable(probes.select(*columns).mapInArrow(placed(1), kinds))
     given = durable(windows.select(*columns).mapInArrow(placed(NEAR), kinds))
     chunks, copies = load(asked, HELD), load(given, SPLIT)
@@ -432,7 +432,7 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     run_words is the longest passage of at least ten consecutive words that item and text share (0: none), common_words the longest common
     subsequence of any two of their ten-word windows that are similar enough, cosine the highest similarity of windows with so many. A pair
     with run_words 0 is a paraphrase: at least least_common of ten words in the same order. Words are runs of letters and digits in lower case
-    after both texts are brought to their look-alike form; they are compared by 64-bit hashes. Null and empty texts, and items of under ten words, never
+    after both texts are brought to their look-alike form; they are compared by 62-bit hashes. Null and empty texts, and items of under ten words, never
     match; nor do rows with a null key. Rows that repeat a key give the best of their texts.
 
     Latent semantic retrieval: the TF-IDF passages of all texts are reduced by a randomised SVD. The ten-word windows of items are indexed by latent
@@ -446,21 +446,21 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     """
     spark = docs.sparkSession
     asked = words_of(items.select(F.col(item_key).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null"), "key", "text").where(F.size("words") >= WINDOW)
-    asked = durable(asked.select("key", _hashes(F.col("words")).alias("hashes")).withColumn("terms", _terms(F.col("hashes"))).withColumn("row", F.monotonically_increasing_id()))
+    asked = durable(asked.select("key", _hashes(F.col("words")).alias("hashes"), F.monotonically_increasing_id().alias("row")))
     words, neighbours = _filters(asked)
     bits = spark.createDataFrame([(words.tolist(),)], "v array<long>").scalar()
     corpus = words_of(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null"), "key", "text").where(F.size("words") > 0)
-    corpus = corpus.select("key", _hashes(F.col("words")).alias("_h"), bits.alias("_bits"))
+    corpus = corpus.select("key", _hashes(F.col("words")).alias("_h")).select("*", bits.alias("_bits"))  # the optimizer puts it where it is read: no row carries it
     # Only words of items keep their hash: no other can match, and the table stays small.
-    kept = lambda b: F.transform("_h", lambda x: F.when(_bit(b, F.pmod(x, F.lit(FILTER_BITS))), x).otherwise(F.lit(0).cast("long")))
-    corpus = durable(corpus.select("key", _terms(F.col("_h")).alias("terms"), F.transform(F.array("_bits"), kept)[0].alias("hashes"), F.monotonically_increasing_id().alias("row")))
+    kept = lambda b: F.transform("_h", lambda x: F.when(_bit(b, x.bitwiseAND(F.lit(FILTER_BITS - 1))), x).otherwise(x.bitwiseAND(F.lit(TERMS - 1))))
+    corpus = durable(corpus.select("key", F.transform(F.array("_bits"), kept)[0].alias("hashes"), F.monotonically_increasing_id().alias("row")))
     space = fit_space(corpus)
 
     kinds = f"row long, key long, at long, {_WINDOWS}"
-    columns = ("row", "key", "terms", "hashes")
-    places = durable(asked.select(*columns).mapInArrow(_windows(lambda hashes, starts: np.ones(len(starts), bool)), kinds))
+    columns = ("row", "key", "hashes")
+    places = durable(asked.select(*columns).mapInArrow(_windows(), kinds))
     seen = durable(corpus.select(*columns).mapInArrow(_windows(_possible(spark, neighbours, least_common)), kinds))
-    one = lambda df: df.groupBy("m1", "m2").agg(F.first("hashes").alias("hashes"), F.first("terms").alias("terms"))
+    one = lambda df: df.groupBy("m1", "m2").agg(F.first("hashes").alias("hashes"))
     probes = durable(one(places))
     count = probes.count()
     centres = _centres(probes, count, space)

@@ -73,11 +73,14 @@ class Shape:
         return unicodedata.normalize("NFC", s.translate(self.letters))
 
     def former(self):
-        """The form of a text: only unstable stretches are normalized and put back between the unchanged ones."""
+        """The form of a text: only unstable stretches are normalized and put back between the unchanged ones.
+
+        A plain space joins with nothing, so a text is the sum of what stands between its spaces; short stretches between spaces come again and are remembered."""
         find = re.compile(self.segment)
-        known = lru_cache(1 << 14)(self.canonical)
-        part = lambda m: known(m.group()) if len(m.group()) <= 32 else self.canonical(m.group())
-        return lambda text: text if text.isascii() and text.isprintable() else find.sub(part, text)
+        part = lambda m: self.canonical(m.group())
+        spliced = lambda word: word if word.isascii() and word.isprintable() else find.sub(part, word)
+        known = lru_cache(1 << 16)(spliced)
+        return lambda text: " ".join([known(word) if len(word) <= 64 else spliced(word) for word in text.split(" ")])
 
 
 def _ranges(cps: list[int]) -> str:
@@ -146,3 +149,13 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = durable(lookalikes(df, key, text))
     a, b = (rows.select(F.col(key).alias(f"{key}_{x}"), "class_id", F.col("variant").alias(f"_v{x}")) for x in "ab")
     return a.join(b, "class_id").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("_va") != F.col("_vb"))).select(f"{key}_a", f"{key}_b")
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The classes of look-alike texts without their pairs, a row per distinct string: representative (the smallest key of the class), variant
+    (the smallest key with that string), rows (how many have it). Keys that have the string in several rows count once."""
+    rows = lookalikes(df, key, text)
+    own = rows.groupBy("class_id", "variant").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("rows"))
+    own = durable(own)
+    whole = own.groupBy("class_id").agg(F.min("_first").alias("representative"))
+    return own.join(whole, "class_id").select("representative", F.col("_first").alias("variant"), "rows")
