@@ -4,7 +4,10 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +21,12 @@ WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Slots of the rank map; a slot holds the few pairs that hash to it.
 _SLOTS = 1 << 14
 _NONE = 2**31 - 1
+#: Bits of an id in a pair's key and beside a pair's rank; a larger vocabulary is an error.
+_ID_BITS = 20
 #: Words of more bytes are merged with a heap in Python: a fold is quadratic in a word's length.
 FOLD_BYTES = 48
+#: The commonest words whose ids go to every task, if they have at most FOLD_BYTES bytes: 10 MB at most. All other words meet their ids by a join.
+HEAD = 1 << 16
 
 
 class Vocabulary:
@@ -37,14 +44,16 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         #: (left id, right id) -> (rank, merged id)
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        if max(vocab.values()) >= 1 << _ID_BITS:
+            raise ValueError(f"ids must be under {1 << _ID_BITS}")
         byte_of = {letter: b for b, letter in self._letter.items()}
         self.pieces = {i: bytes(byte_of[c] for c in word) for word, i in vocab.items() if all(c in byte_of for c in word)}
 
     def rank_map(self) -> list[dict[int, int]]:
-        """Slots of maps: left << 16 | right -> rank << 17 | merged id."""
+        """Slots of maps: left << _ID_BITS | right -> rank << _ID_BITS | merged id."""
         slots: list[dict[int, int]] = [{} for _ in range(_SLOTS)]
         for (a, b), (rank, merged) in self.merges.items():
-            slots[(a * 31 + b) % _SLOTS][a << 16 | b] = rank << 17 | merged
+            slots[(a * 31 + b) % _SLOTS][a << _ID_BITS | b] = rank << _ID_BITS | merged
         return slots
 
     def encode_bytes(self, word: bytes) -> list[int]:
@@ -83,23 +92,22 @@ def _literal(spark: SparkSession, value, kind: str) -> Column:
 
 
 def _merge_fold(word: Column, byte_ids: Column, ranks: Column) -> Column:
-    """The ids of a word's bytes after all ranked merges. State: ids, and for each neighbouring pair its rank << 17 | merged id."""
+    """The ids of a word's bytes after all ranked merges. State: ids, and for each neighbouring pair its rank << _ID_BITS | merged id."""
+    none = F.lit(_NONE).cast("long") * (1 << _ID_BITS)
 
     def look(a: Column, b: Column) -> Column:
         slot = F.element_at(ranks, (F.pmod(a * 31 + b, F.lit(_SLOTS)) + 1).cast("int"))
-        return F.coalesce(F.element_at(slot, F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long"))), F.lit(_NONE).cast("long") * (1 << 20))
+        return F.coalesce(F.element_at(slot, F.shiftleft(a.cast("long"), _ID_BITS).bitwiseOR(b.cast("long"))), none)
 
-    none = F.lit(_NONE).cast("long") * (1 << 20)
-    digits = F.hex(word)
     n = F.octet_length(word)
-    ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(byte_ids, F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1))  # a character per byte
     start = F.transform(F.array(ids), lambda x: F.struct(x.alias("ids"), F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x)), look).alias("pairs")))[0]
 
     def step(s: Column, _: Column) -> Column:
         low = F.array_min(s["pairs"])
 
         def merged(x: Column) -> Column:
-            at, new = x["at"], x["low"].bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
+            at, new = x["at"], x["low"].bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")
             old = s["ids"]
             left = F.when(at > 1, F.array(look(F.get(old, at - 2), new))).otherwise(F.array().cast("array<bigint>"))
             right = F.when(at + 1 < F.size(old), F.array(look(new, F.get(old, at + 1)))).otherwise(F.array().cast("array<bigint>"))
@@ -140,28 +148,65 @@ def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return short.unionByName(long)
 
 
+def _head(coded: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The HEAD commonest words, where the ids of each begin, and all their ids. coded: word, n, ids."""
+    common = coded.where(F.octet_length("word") <= FOLD_BYTES).orderBy(F.col("n").desc(), "word").limit(HEAD).select("word", "ids").toArrow()
+    ids = common["ids"].combine_chunks() if len(common) else pa.array([], pa.list_(pa.int32()))
+    return pa.array(common["word"].to_pylist(), pa.string()), ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy()
+
+
+def _assemble(frames: Iterator[pa.RecordBatch], head: tuple[pa.Array, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Per text (key, mark, words) the ids of its common words, and its rare words in order. The k-th rare word stands as -k among the ids."""
+    known, begins, ids = head
+    ids = np.r_[ids, np.int32(-1)]
+    begins, sizes = np.r_[begins[:-1], len(ids) - 1], np.r_[np.diff(begins), 1]  # the last is for words that are not known
+    for batch in frames:
+        lists = batch.column(2)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten()
+        at = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy().astype(np.int64)
+        size = sizes[at]
+        ends = np.r_[0, np.cumsum(size)]
+        spot = np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], size)
+        flat = ids[spot].astype(np.int32)
+        rare = at == len(known)
+        seen = np.r_[0, np.cumsum(rare)]
+        first = np.repeat(seen[offsets[:-1]], np.diff(offsets))
+        flat[ends[:-1][rare]] = -(seen[1:] - first)[rare]
+        lists = [pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(seen[offsets], pa.int32()), words.filter(pa.array(rare)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["_key", "_mark", "_flat", "_rare"])
+
+
 def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """The token ids of every text, without special tokens; columns key, ids (array of int).
 
     Null and empty texts give an empty array. Strings of special tokens in a text are ordinary text. Texts of any length are encoded whole.
     Repeated rows are one; a key with several texts has a row for each. No other column is read.
 
-    Each distinct word is encoded once, whatever its count; occurrences meet their ids in a join by word (hot words are split by AQE and,
-    for words of up to four characters, by salt) and come together again by document.
+    Words are counted over all texts and each distinct word is encoded once. The ids of the HEAD commonest words go to every task, so a text is put
+    together where it is read and is never shuffled; the rare words that it lacks then are joined with their ids by word and come back by document.
     """
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    split = source.select("_key", F.xxhash64("_text").alias("_mark"), F.posexplode_outer(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("_pos", "word"))
-    coded = encode_words(durable(split.where("word is not null").select("word").distinct()), path)
-    salts = 8
-    brief = F.length("word") <= 4
-    coded = coded.withColumn("_salt", F.explode(F.when(brief, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    split = split.withColumn("_salt", F.when(brief, F.pmod(F.xxhash64("_key"), F.lit(salts))).otherwise(0).cast("int"))
-    met = split.join(coded, ["word", "_salt"], "left").select("_key", "_mark", F.struct("_pos", "ids").alias("_part"))
-    parts = met.groupBy("_key", "_mark").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
-    repeated = F.size("_parts") > F.coalesce(F.element_at("_parts", -1)["_pos"], F.lit(0)) + 1
-    once = F.when(repeated, F.filter("_parts", lambda p, i: (i == 0) | (p["_pos"] != F.get("_parts", i - 1)["_pos"]))).otherwise(F.col("_parts"))
-    ordered = F.filter(F.transform(once, lambda p: p["ids"]), lambda i: i.isNotNull())
-    return parts.select(F.col("_key").alias(key), F.flatten(ordered).alias("ids"))
+    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
+    counts = durable(source.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    coded = durable(encode_words(counts, path).join(counts, "word"))
+    sent = docs.sparkSession.sparkContext.broadcast(_head(coded))
+    kind = docs.schema[key].dataType.simpleString()
+    read = source.select("_key", F.xxhash64("_text").alias("_mark"), words.alias("_words"))
+    texts = durable(read.mapInArrow(lambda frames: _assemble(frames, sent.value), f"_key {kind}, _mark long, _flat array<int>, _rare array<string>"))
+    repeated = texts.groupBy("_key", "_mark").count().where("count > 1").select("_key", "_mark")
+    if not repeated.isEmpty():
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_key", "_mark")]
+        once = texts.alias("a").join(repeated.alias("b"), same, "left_semi").dropDuplicates(["_key", "_mark"])
+        texts = durable(texts.alias("a").join(repeated.alias("b"), same, "left_anti").unionByName(once))
+
+    whole = texts.where(F.size("_rare") == 0).select("_key", F.col("_flat").alias("ids"))
+    gaps = texts.where(F.size("_rare") > 0).withColumn("_id", F.struct("_key", "_mark"))
+    asked = gaps.select("_id", F.posexplode("_rare").alias("_pos", "word"))
+    met = asked.join(coded.select("word", "ids"), "word").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "ids"))).alias("_found"))
+    filled = F.flatten(F.transform("_flat", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("_found", -i - 1)["ids"])))
+    filled = gaps.join(met, "_id").select("_key", filled.alias("ids"))
+    return whole.unionByName(filled).select(F.col("_key").alias(key), "ids")
 
 
 def decode_corpus(encoded: DataFrame, key: str, ids: str, path: str = VOCABULARY) -> DataFrame:
