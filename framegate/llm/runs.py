@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from framegate.operators.versions import measured
 from framegate.plans.durable import durable
 
-#: Bits of a sequence number within a block, by level. The last level takes what is left of an entity: two open runs per block of the one below.
+#: Bits of an event's place in the order within a block, by level. The last level takes what is left of an entity: two open runs per block of
+#: the one below (and per range partition).
 LEVELS = (12, 24, None)
-_RUN = "first_sequence long, last_sequence long, events long, started double, ended double, kind string, first_change double, last_change double"
+_RUN = "first_sequence long, last_sequence long, events long, started double, ended double, kind string, first_change double, last_change double, first_at long, last_at long"
 
 
 def _agglomerate(same: np.ndarray, gap: np.ndarray, change: np.ndarray, max_gap: float, max_change: float) -> np.ndarray:
@@ -42,7 +43,7 @@ def _agglomerate(same: np.ndarray, gap: np.ndarray, change: np.ndarray, max_gap:
 
 
 def _merge(entity: list[str], below: int | None, max_gap: float, max_change: float):
-    """Runs of a partition that is sorted by (entity, block, first_sequence), merged within their blocks; open ones touch a block's edge.
+    """Runs of a partition that is sorted by (entity, block, first_at), merged within their blocks; open ones touch a block's edge.
 
     below: bits of the blocks that were merged before. Two runs of one such block are done with each other: they were compared, or
     what lies between them is closed and no longer here.
@@ -57,7 +58,7 @@ def _merge(entity: list[str], below: int | None, max_gap: float, max_change: flo
             kind_a, kind_b = a["kind"].to_numpy(object), b["kind"].to_numpy(object)
             same = within & (kind_a == kind_b) & a["kind"].notna().to_numpy()
             if below is not None:
-                same &= a["last_sequence"].to_numpy() >> below != b["first_sequence"].to_numpy() >> below
+                same &= a["last_at"].to_numpy() >> below != b["first_at"].to_numpy() >> below
             gap = np.abs(np.round(b["started"].to_numpy(float) - a["ended"].to_numpy(float), 9))
             change = np.abs(np.round(b["first_change"].to_numpy(float) - a["last_change"].to_numpy(float), 9))
             run = _agglomerate(same, gap, change, max_gap, max_change)
@@ -66,8 +67,8 @@ def _merge(entity: list[str], below: int | None, max_gap: float, max_change: flo
             run = np.zeros(len(frame), dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         ends = np.r_[starts[1:], len(frame)] - 1
-        out = frame.iloc[starts][[*keys, "first_sequence", "started", "kind", "first_change"]].reset_index(drop=True)
-        for c in ("last_sequence", "ended", "last_change"):
+        out = frame.iloc[starts][[*keys, "first_sequence", "started", "kind", "first_change", "first_at"]].reset_index(drop=True)
+        for c in ("last_sequence", "ended", "last_change", "last_at"):
             out[c] = frame[c].to_numpy()[ends]
         out["events"] = np.add.reduceat(frame["events"].to_numpy(), starts)
         block_end = np.r_[new[1:], True]
@@ -105,10 +106,10 @@ def collapse_runs(
     time or change, or a null kind, ends the run on both sides; such an event is a run of one. Null entities form one sequence.
     Rows with a null sequence are left out; rows that repeat one count as neighbours, each an event. An empty table gives an empty result.
 
-    Adjacent agglomeration: within a block of consecutive sequence numbers, the most similar neighbouring runs merge until none
+    Adjacent agglomeration: within a block of neighbouring events, the most similar neighbouring runs merge until none
     meets the limits. What touches a block's edge is still open and is merged again with its neighbours in the next larger block. Two runs are
-    as similar as the events that touch, so the result does not depend on where blocks are cut, and no task holds more of an
-    entity than one block.
+    as similar as the events that touch, so the result does not depend on where blocks are cut. Blocks are cut by an event's place in the order of
+    range partitions, whatever its number, so an entity of any size and spacing spreads over as many tasks as it needs, and none holds more of it than one block.
     """
     columns = [*entity, *[c.split()[0] for c in _RUN.split(", ")]]
     value, at = measured(F.col(change).cast("double")), measured(F.col(time).cast("double"))
@@ -116,11 +117,15 @@ def collapse_runs(
         *entity, F.col(sequence).cast("long").alias("first_sequence"), F.col(sequence).cast("long").alias("last_sequence"), F.lit(1).cast("long").alias("events"),
         at.alias("started"), at.alias("ended"), F.col(kind).cast("string").alias("kind"), value.alias("first_change"), value.alias("last_change"),
     )
+    order = [*entity, "first_sequence", "started", "kind", "first_change"]
+    placed = runs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("first_at", F.monotonically_increasing_id())
+    runs = placed.withColumn("last_at", F.col("first_at"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
     closed = None
     for below, bits in zip((None, *LEVELS), LEVELS):
-        blocks = runs.withColumn("_block", F.lit(0).cast("long") if bits is None else F.shiftright("first_sequence", bits))
-        blocks = blocks.repartition(*entity, "_block").sortWithinPartitions(*entity, "_block", "first_sequence", "started", "kind", "first_change")
+        blocks = runs.withColumn("_block", F.lit(0).cast("long") if bits is None else F.shiftright("first_at", bits))
+        if below is not None or bits is None:  # the first blocks lie whole and in order in their range partition
+            blocks = blocks.repartition(*entity, "_block").sortWithinPartitions(*entity, "_block", "first_at")
         merged = blocks.mapInPandas(_merge(entity, below, max_gap, max_change), f"{types}, _block long, open boolean")
         if bits is None:
             done = merged.select(*columns)
