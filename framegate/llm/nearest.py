@@ -100,7 +100,8 @@ def nearest_in_time(
 
     Both sides are cut into slices of time, so an entity of any size spreads over many tasks: a left row goes to the one or two
     slices that its tolerance reaches (wider slices for wider tolerances, by powers of two), right rows at one time are one row.
-    Behind one shuffle each task sweeps its slices in order of time with NearestBuffer.
+    Behind one shuffle each task sweeps its slices in order of time with NearestBuffer, which holds the newest right row and the left rows that wait
+    for the next one. Left rows of boundless tolerance (2^60 slices and more) share one slice of their entity.
     """
     at = lambda c: measured(F.col(c).cast("double"))
     width = lambda level: F.lit(float(slice_seconds)) * F.pow(F.lit(2.0), level)
@@ -124,18 +125,26 @@ def nearest_in_time(
     return best.select("left_id", F.col("_best.right_id").alias("right_id"), F.col("_best.distance").alias("distance"))
 
 
-def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str) -> DataFrame:
+def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str, slice_seconds: float = 64.0) -> DataFrame:
     """The same match over a stream; columns entity, left_id, right_id, distance.
 
     rows: entity string, side int (0 right, 1 left), at timestamp, id long, tolerance double (seconds), as one stream of both sides in
-    any order. Per entity both sides are buffered in state; once the watermark (newest time less `delay`) passes a left row's
+    any order. Per entity and slice of time both sides are buffered in state, so an entity of any size spreads over many keys and a state holds a
+    slice, not a history: a left row is in its own slice alone, a right row also in the next one that it can reach. Slices are at least twice as
+    long as max_tolerance. Once the watermark (newest time less `delay`) passes a left row's
     horizon it is emitted with its nearest right row, or dropped if there is none. Right rows older than the watermark by
     max_tolerance can match nothing that is still to come and are evicted. Rows that come behind the watermark are late and
     dropped by Spark. A null or NaN tolerance is 0; one above max_tolerance is an error, since its right rows may be gone. A repeated left
-    id waits until all its rows so far are past their horizon and gives its nearest match; rows of it that come after that, or under another
-    entity, give a match of their own.
+    id waits until all its rows so far in a slice are past their horizon and gives its nearest match; rows of it that come after that, in another
+    slice or under another entity, give a match of their own. Two right rows of one time are told apart by the smaller id.
     """
+    if not 0 <= max_tolerance < float("inf"):
+        raise ValueError("max_tolerance must be a finite number of seconds, at least 0")
+    width = max(slice_seconds, 2 * (max_tolerance + _SLACK))
     seen = rows.where("entity is not null and at is not null and id is not null").withWatermark("at", delay)
+    cut = lambda shift: F.floor((F.unix_micros("at") / 1e6 + shift) / width).cast("long")
+    reach = max_tolerance + _SLACK
+    seen = seen.withColumn("slice", F.explode(F.when(F.col("side") == 1, F.array(cut(0.0))).otherwise(F.array_distinct(F.array(cut(-reach), cut(reach))))))
     state = "at array<double>, side array<int>, id array<long>, tolerance array<double>"
     output = "entity string, left_id long, right_id long, distance double"
 
@@ -169,4 +178,4 @@ def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str) -> DataFra
         found.insert(0, "entity", key[0])
         yield found.sort_values(["left_id", "distance", "right_id"]).groupby("left_id", as_index=False).first()[["entity", "left_id", "right_id", "distance"]] if len(found) else found
 
-    return seen.groupBy("entity").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return seen.groupBy("entity", "slice").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.EventTimeTimeout)
