@@ -1,7 +1,7 @@
 """Sample matching target category proportions."""
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegate.functions.text import vocabulary_key
@@ -110,13 +110,19 @@ def draw(records: DataFrame, plan: DataFrame, key: str, seed: int = 7) -> DataFr
     """The sampled records; columns key, profile_id, target_id, kind, cell_category, cell_risk.
 
     The rows of a cell are permuted by a hash of (seed, profile, key) with ties by key, and numbered over range partitions, so a
-    cell may hold any share of all rows. Records with a null key are never drawn; a repeated key counts as often as it occurs.
+    cell may hold any share of all rows. Hashes are counted in 256 bands first, and only the bands that a cell's draw reaches are numbered: what is
+    written is about the size of the sample, not of the records. Records with a null key are never drawn; a repeated key counts as often as it occurs.
     """
     spans = durable(plan.where(F.col("first").isNotNull()))
     cells = spans.groupBy("profile_id", "cell_category", "cell_risk").agg(F.max("last").alias("_most"))
     pool = records.where(F.col(key).isNotNull()).select(key, F.col("leaf_category").alias("cell_category"), F.col("leaf_risk").alias("cell_risk"))
     pool = pool.join(cells, ["cell_category", "cell_risk"]).withColumn("_draw", F.xxhash64(F.lit(seed), "profile_id", key))
     cell = ["profile_id", "cell_category", "cell_risk"]
+    pool = pool.withColumn("_band", F.shiftright("_draw", 56))
+    bands = pool.groupBy(*cell, "_band", "_most").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*cell).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows of a cell at most
+    reached = bands.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_before < _most").groupBy(*cell).agg(F.max("_band").alias("_last"))
+    pool = pool.join(reached, cell).where("_band <= _last").drop("_band", "_last")
     placed = with_place(pool, cell, [F.col("_draw"), F.col(key)]).where(F.col("place") <= F.col("_most"))
     hit = placed.join(spans.select(*cell, "target_id", "kind", "first", "last"), cell).where(F.col("place").between(F.col("first"), F.col("last")))
     return hit.select(key, "profile_id", "target_id", "kind", "cell_category", "cell_risk")
