@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from framegate.functions.text import relative_path, stripped
 from framegate.llm import bpe, group_split, leaks, lookalike, nearest, one_rank, quota_sample, runs, top_n
 from framegate.operators.versions import latest
+from framegate.plans.durable import durable
 from framegate.sources.tables import table
 
 SCORES = ["frame_difference", "histogram_difference", "motion_score", "importance"]
@@ -89,7 +90,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def _panel(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "candidates").where("video_path is not null and frame_index is not null")
     rows = rows.join(table(spark, folder, "rank_panel").select("video_path"), "video_path", "left_semi")
-    return latest(rows, ["video_path", "frame_index"], "ingested_at", ["analyzer_build", *SCORES])
+    return durable(latest(rows, ["video_path", "frame_index"], "ingested_at", ["analyzer_build", *SCORES]))  # counted and ranked
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,8 +121,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p9_form(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.with_form(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_splits, p4_found, p4_runs, p5_found, p6_found, p6_ranking, p7_ids, p8_found, p8_leaks, p9_found, p9_form)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_splits, p4_found, p4_runs, p5_found, p6_found, p6_ranking, p7_ids, p8_found, p8_leaks, p9_found, p9_classes, p9_form)}

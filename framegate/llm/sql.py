@@ -50,6 +50,8 @@ SQL = {
     "p6_ranking": _RANKED + "SELECT video_path, frame_index, place FROM r",
     "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key="doc_id", form=_form("text"), table="documents")}) JOIN ({_GRAMS.format(key="item_id", form=_form("item_text"), table="heldout_items")}) USING (g)""",
     "p9_form": f"SELECT doc_id, {_form('text')} AS form FROM documents",
+    "p9_classes": f"""WITH f AS (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL), v AS (SELECT * FROM f WHERE regexp_matches(form, '[^ \\t\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'))
+SELECT representative, variant, n AS rows FROM (SELECT min(min(doc_id)) OVER (PARTITION BY form) AS representative, min(doc_id) AS variant, count(*) AS n, count(*) OVER (PARTITION BY form) AS texts FROM v GROUP BY form, text) WHERE texts > 1""",
     "p9_found": f"""WITH f AS (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL), v AS (SELECT * FROM f WHERE regexp_matches(form, '[^ \\t\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'))
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p1_found": f"""SELECT video_path, frame_index FROM ({_LATEST_CANDIDATES}) WHERE NOT isnan(importance)
