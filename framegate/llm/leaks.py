@@ -55,11 +55,6 @@ class LatentSpace:
         return np.rint(total / np.maximum(length, 1)[:, None] * 2**15)
 
 
-def _bit(bits: Column, at: Column) -> Column:
-    """Whether a bit of an array of longs is set."""
-    return F.call_function("getbit", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """The words of each text after it is brought to its look-alike form; columns key, words. Null texts are left out."""
     forms = with_form(df.select(key, F.col(text).alias("_text")).where("_text is not null"), "_text", "_form")
@@ -224,6 +219,22 @@ def _filters(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(_bits(d.groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect()) for d in (single, double))
 
 
+def _known(spark, words: np.ndarray):
+    """Rows (key, hashes) with the hash of each word that no item has cut down to its term: it can match nothing, and the table stays small."""
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint64)
+        for batch in frames:
+            hashes, offsets = _flat(batch.column(1))
+            at = hashes & (FILTER_BITS - 1)
+            there = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            kept = np.where(there == 1, hashes, hashes & (TERMS - 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(kept))], ["key", "hashes"])
+
+    return run
+
+
 def _possible(spark, neighbours: np.ndarray, least_common: int) -> Callable[[np.ndarray], np.ndarray]:
     """Which windows of texts can have least_common words in the order of some item's window: so many words of theirs are words of items, and
     among as many in order, with WINDOW - least_common left out on either side, some follow each other on both sides."""
@@ -448,12 +459,9 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     asked = words_of(items.select(F.col(item_key).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null"), "key", "text").where(F.size("words") >= WINDOW)
     asked = durable(asked.select("key", _hashes(F.col("words")).alias("hashes"), F.monotonically_increasing_id().alias("row")))
     words, neighbours = _filters(asked)
-    bits = spark.createDataFrame([(words.tolist(),)], "v array<long>").scalar()
     corpus = words_of(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null"), "key", "text").where(F.size("words") > 0)
-    corpus = corpus.select("key", _hashes(F.col("words")).alias("_h")).select("*", bits.alias("_bits"))  # the optimizer puts it where it is read: no row carries it
-    # Only words of items keep their hash: no other can match, and the table stays small.
-    kept = lambda b: F.transform("_h", lambda x: F.when(_bit(b, x.bitwiseAND(F.lit(FILTER_BITS - 1))), x).otherwise(x.bitwiseAND(F.lit(TERMS - 1))))
-    corpus = durable(corpus.select("key", F.transform(F.array("_bits"), kept)[0].alias("hashes"), F.monotonically_increasing_id().alias("row")))
+    corpus = corpus.select("key", _hashes(F.col("words")).alias("hashes")).mapInArrow(_known(spark, words), "key long, hashes array<long>")
+    corpus = durable(corpus.withColumn("row", F.monotonically_increasing_id()))
     space = fit_space(corpus)
 
     kinds = f"row long, key long, at long, {_WINDOWS}"
@@ -468,7 +476,7 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
 
     mark = ["m1", "m2"]
     owners = places.select(F.col("key").alias("item_id"), F.col("m1").alias("p1"), F.col("m2").alias("p2")).distinct()
-    near = pairs.join(owners, ["p1", "p2"]).groupBy(*mark, "item_id").agg(F.max(F.struct("common", "cosine")).alias("best"))
+    near = durable(pairs.join(owners, ["p1", "p2"]).groupBy(*mark, "item_id").agg(F.max(F.struct("common", "cosine")).alias("best")))
     where = seen.select("key", *mark).distinct()
     close = where.join(near, mark).groupBy("key", "item_id").agg(F.max("best").alias("best"))
 

@@ -79,8 +79,25 @@ class Shape:
         find = re.compile(self.segment)
         part = lambda m: self.canonical(m.group())
         spliced = lambda word: word if word.isascii() and word.isprintable() else find.sub(part, word)
-        known = lru_cache(1 << 16)(spliced)
-        return lambda text: " ".join([known(word) if len(word) <= 64 else spliced(word) for word in text.split(" ")])
+        known = _Remembered(spliced)
+        return lambda text: " ".join(map(known.__getitem__, text.split(" ")))
+
+
+class _Remembered(dict):
+    """Results of a function of strings; emptied when it holds a million characters, long strings are not kept."""
+
+    def __init__(self, of):
+        self.of, self.size = of, 0
+
+    def __missing__(self, text: str) -> str:
+        out = self.of(text)
+        if len(text) <= 64:
+            if self.size > 1_000_000:
+                self.clear()
+                self.size = 0
+            self[text] = out
+            self.size += len(text)
+        return out
 
 
 def _ranges(cps: list[int]) -> str:
