@@ -25,8 +25,8 @@ _NONE = 2**31 - 1
 _ID_BITS = 20
 #: Words of more bytes are merged with a heap in Python: a fold is quadratic in a word's length.
 FOLD_BYTES = 48
-#: The commonest words whose ids go to every task, if they have at most FOLD_BYTES bytes: 10 MB at most. All other words meet their ids by a join.
-HEAD = 1 << 16
+#: The commonest words whose ids go to every task, if they have at most FOLD_BYTES bytes: 20 MB at most. All other words meet their ids by a join.
+HEAD = 1 << 17
 
 
 class Vocabulary:
@@ -177,6 +177,24 @@ def _assemble(frames: Iterator[pa.RecordBatch], head: tuple[pa.Array, np.ndarray
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["_key", "_mark", "_flat", "_rare"])
 
 
+def _fill(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, ids with negative places, the ids of the rare words in order) with the places filled; columns _key, ids."""
+    for batch in frames:
+        flat, found = batch.column(1), batch.column(2)
+        ids, offsets = flat.flatten().to_numpy(), flat.offsets.to_numpy() - flat.offsets[0].as_py()
+        lists = found.flatten()
+        words, begins = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+        gap = np.flatnonzero(ids < 0)
+        size = np.ones(len(ids), np.int64)
+        size[gap] = np.diff(begins)
+        source = np.arange(len(ids))
+        source[gap] = len(ids) + begins[:-1]
+        ends = np.r_[0, np.cumsum(size)]
+        spot = np.arange(ends[-1]) + np.repeat(source - ends[:-1], size)
+        out = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(np.r_[ids, words].astype(np.int32)[spot]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), out], ["_key", "ids"])
+
+
 def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """The token ids of every text, without special tokens; columns key, ids (array of int).
 
@@ -204,8 +222,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY)
     gaps = texts.where(F.size("_rare") > 0).withColumn("_id", F.struct("_key", "_mark"))
     asked = gaps.select("_id", F.posexplode("_rare").alias("_pos", "word"))
     met = asked.join(coded.select("word", "ids"), "word").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "ids"))).alias("_found"))
-    filled = F.flatten(F.transform("_flat", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("_found", -i - 1)["ids"])))
-    filled = gaps.join(met, "_id").select("_key", filled.alias("ids"))
+    filled = gaps.join(met, "_id").select("_key", "_flat", F.transform("_found", lambda x: x["ids"]).alias("_ids")).mapInArrow(_fill, f"_key {kind}, ids array<int>")
     return whole.unionByName(filled).select(F.col("_key").alias(key), "ids")
 
 
