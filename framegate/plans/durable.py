@@ -1,7 +1,9 @@
 """Cutting lineage with tables in storage that every executor shares."""
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,9 +11,12 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, local mode), one of its own for this session."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, one of its own for this session if all of Spark runs on this machine (tests, local
+    mode); on a cluster that is an error, since no executor would see the tables of another."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("framegate.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="framegate-")
         spark.conf.set("framegate.scratch", folder)
     return folder.rstrip("/")
@@ -34,14 +39,24 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Remove the tables that durable() wrote for this session, but for the newest `keep`."""
-    paths = _written.get(spark.sparkContext.applicationId, [])
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """For a query and its action: removes the tables that durable() wrote in between. What is read later must have been written elsewhere."""
+    before = list(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, keep=before)
+
+
+def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Remove the tables that durable() wrote for this session, but for the paths to keep."""
+    paths, kept = _written.get(spark.sparkContext.applicationId, []), set(keep)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths[: len(paths) - keep]:
+    for path in [p for p in paths if p not in kept]:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-    del paths[: len(paths) - keep]
+    paths[:] = [p for p in paths if p in kept]
 
 
 def drop_table(df: DataFrame) -> None:
