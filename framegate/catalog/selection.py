@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from framegate.config import Sampler
 from framegate.operators import metrics, select, signals
+from framegate.plans.durable import durable
 from framegate.sources.streams import SIGNALS, candidates, case_videos, labels, stream, videos
 from framegate.sources.tables import table
 
@@ -81,7 +82,7 @@ def spike_promotion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def robust_scale(spark: SparkSession, folder: str) -> DataFrame:
-    scales = signals.robust_scales(candidates(spark, folder, *SIGNALS), SIGNALS, ["video_path"])
+    scales = signals.robust_scales(durable(candidates(spark, folder, *SIGNALS)), SIGNALS, ["video_path"])
     return scales.select("video_path", *[F.round(f"{c}_p95", 9).alias(f"{c}_p95") for c in SIGNALS])
 
 

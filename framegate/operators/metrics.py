@@ -2,9 +2,9 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from framegate.config import CATEGORIES, RISKS, Profile
+from framegate.functions.heap import top_values
 from framegate.functions.stats import rate
 
 
@@ -82,13 +82,25 @@ def audit_counts(labels: DataFrame, profile: Profile) -> DataFrame:
     return out.select("kind", "name", "labels", "eligible", "target", F.when(F.col("kind") == "category", F.greatest(F.lit(0), F.col("target") - F.col("eligible"))).alias("deficit"))
 
 
-def duplicate_transitions(labels: DataFrame, transition: Column, key: Column, shown: int = 10) -> DataFrame:
-    """Transitions that more than one label uses: how many labels, and the first of their keys in order."""
+def audit_marks(labels: DataFrame) -> DataFrame:
+    """One row: labels, those with a region, with acceptable states, with both, and the different transitions of eligible labels. labels: region, acceptable_states,
+    transition, real_world_eligible."""
+    region, states = F.col("region").isNotNull(), F.coalesce(F.size("acceptable_states") > 0, F.lit(False))
+    return labels.agg(
+        F.count(F.lit(1)).alias("labels"), F.count_if(region).alias("with_region"), F.count_if(states).alias("with_states"), F.count_if(region & states).alias("with_both"),
+        F.count_distinct(F.when(F.coalesce("real_world_eligible", F.lit(True)), F.col("transition"))).alias("independent_transitions"),
+    )
+
+
+def duplicate_transitions(labels: DataFrame, transition: Column, key: Column, shown: int | None = None) -> DataFrame:
+    """Transitions that more than one label uses, a row per label: transition, labels (how many use it), key. With `shown` a row per transition with
+    the first keys in order instead: transition, labels, keys."""
     rows = labels.select(transition.alias("transition"), key.alias("_k")).where("transition is not null")
     counts = rows.groupBy("transition").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    if shown is None:
+        return rows.withColumnRenamed("_k", "key").join(counts, "transition")
     firsts = rows.join(counts.select("transition"), "transition", "left_semi").groupBy("transition")
-    firsts = firsts.agg(InternalFunction.collect_top_k(F.col("_k"), shown, True).alias("keys"))
-    return counts.join(firsts, "transition")
+    return counts.join(firsts.agg(top_values(F.col("_k"), shown).alias("keys")), "transition")
 
 
 def profile_complete(labels: DataFrame, cases: int, profile: Profile) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegate.config import Sampler
+from framegate.plans.durable import durable
 
 
 def in_order(stream: list[str] = ["media_id"], by: str = "frame_index"):
@@ -61,14 +62,31 @@ def spikes(df: DataFrame, difference: str, threshold: float, scheduled_flag: str
     return rows.withColumn("spike", F.col("_above") & ~F.coalesce("previous__above", F.lit(False)) & ~F.col(scheduled_flag)).drop("_above", "previous__above")
 
 
-def robust_scales(df: DataFrame, signals: list[str], stream: list[str] = ["media_id"]) -> DataFrame:
+#: Bins per doubling of a value, for finding where a rank lies.
+BINS = 1024
+
+
+def robust_scales(df: DataFrame, signals: list[str], stream: list[str] = ["media_id"], share: float = 0.95) -> DataFrame:
     """Per stream the divisor of each signal: the 95th percentile (linear) of its positive values, null if there is none above 1e-12.
 
-    One aggregation per stream; the percentile keeps counts of distinct values, not rows.
+    Ranks are found in two readings of df (make it lasting first): values are counted by logarithmic bins before the shuffle, and only the rows of
+    the one or two bins that hold the percentile's ranks are sorted, so no task sorts or holds a whole stream.
     """
-    value = lambda c: F.percentile(F.when(~F.isnan(c) & (F.col(c) > 0), F.col(c)), 0.95)
-    scales = df.groupBy(*stream).agg(*[value(c).alias(f"{c}_p95") for c in signals])
-    return scales.select(*stream, *[F.when(F.col(f"{c}_p95") > 1e-12, F.col(f"{c}_p95")).alias(f"{c}_p95") for c in signals])
+    value = lambda c: F.when(~F.isnan(c) & (F.col(c) > 0), F.col(c).cast("double"))
+    key = [*stream, "_signal"]
+    rows = df.select(*stream, F.posexplode(F.array(*[value(c) for c in signals])).alias("_signal", "_value")).where("_value is not null")
+    rows = rows.withColumn("_bin", F.floor(F.log2("_value") * BINS))
+    whole = Window.partitionBy(*key)
+    earlier = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    bins = bins.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_at": (F.sum("_n").over(whole) - 1) * share})
+    bins = bins.where((F.col("_before") + F.col("_n") > F.floor("_at")) & (F.col("_before") <= F.ceil("_at"))).drop("_n")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*key, "_bin").orderBy("_value")) - 1
+    held = rows.join(bins, [*key, "_bin"]).withColumn("_place", place).where((F.col("_place") == F.floor("_at")) | (F.col("_place") == F.ceil("_at")))
+    ends = held.groupBy(*key).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.first(F.col("_at") - F.floor("_at")).alias("_part"))
+    found = ends.withColumn("_p", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).where("_p > 1e-12")
+    scales = found.groupBy(*stream).agg(*[F.max(F.when(F.col("_signal") == i, F.col("_p"))).alias(f"{c}_p95") for i, c in enumerate(signals)])
+    return df.select(*stream).distinct().join(scales, stream, "left")
 
 
 def scaled(signal: Column, p95: Column) -> Column:
@@ -81,6 +99,7 @@ def with_importance(df: DataFrame, frame: str, histogram: str, motion: str, stre
     """df with the weighted mean of its scaled signals, plus the boost where the raw frame or histogram signal reaches the scene threshold."""
     signals = [frame, histogram, motion]
     weights = [config.frame_weight, config.histogram_weight, config.motion_weight]
+    df = durable(df)  # counted, picked from and scaled
     joined = df.join(robust_scales(df, signals, stream), stream)
     mean = sum((scaled(F.col(c), F.col(f"{c}_p95")) * w for c, w in zip(signals, weights)), F.lit(0.0)) / sum(weights)
     raw = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0))
