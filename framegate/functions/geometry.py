@@ -65,30 +65,31 @@ def capped(width: Column, height: Column, most: int) -> tuple[Column, Column]:
 
 
 def images(r: Column, frame_width: Column, frame_height: Column, has_before: Column, has_peak: Column, margin: int = 12, context_width: int = 384, detail_width: int = 768) -> Column:
-    """The images that go with an event, in order: array of struct(role, width, height, patches).
+    """The images that go with an event, in order: array of struct(role, width, height, patches, cut); cut: the region with its margin, not the frame.
 
     Without a region: the whole frame as context. With a region that fills most of the frame once it has its margin: the
     whole frame as detail. Otherwise a small context and the cut-out region as detail. The image before an action comes first, the peak of
     the change last; both are cut as the detail is.
     """
 
-    def image(role: str, w: Column, h: Column, most: int) -> Column:
+    def image(role: str, w: Column, h: Column, most: int, of_region: Column = F.lit(False)) -> Column:
         cw, ch = capped(w, h, most)
-        return F.struct(F.lit(role).alias("role"), cw.alias("width"), ch.alias("height"), patches(cw, ch).alias("patches"))
+        return F.struct(F.lit(role).alias("role"), cw.alias("width"), ch.alias("height"), patches(cw, ch).alias("patches"), of_region.alias("cut"))
 
     large = expanded(r, margin)
-    kind = "array<struct<role:string,width:bigint,height:bigint,patches:bigint>>"
+    kind = "array<struct<role:string,width:bigint,height:bigint,patches:bigint,cut:boolean>>"
     none = F.array().cast(kind)
     cut = F.struct(large.alias("box"), (F.coalesce(area_ratio(large), F.lit(0.0)) >= 0.60).alias("fills"), r.isNull().alias("whole"), frame_width.alias("fw"), frame_height.alias("fh"), has_before.alias("before"), has_peak.alias("peak"))
 
     def build(v: Column) -> Column:
         w = F.when(v["fills"] | v["whole"], v["fw"]).otherwise(v["box"]["width"])
         h = F.when(v["fills"] | v["whole"], v["fh"]).otherwise(v["box"]["height"])
-        before = F.when(v["before"], F.array(image("before_action", w, h, detail_width))).otherwise(none)
+        part = ~(v["fills"] | v["whole"])
+        before = F.when(v["before"], F.array(image("before_action", w, h, detail_width, part))).otherwise(none)
         middle = F.when(v["whole"], F.array(image("context", v["fw"], v["fh"], detail_width))).when(v["fills"], F.array(image("detail", v["fw"], v["fh"], detail_width))).otherwise(
-            F.array(image("context", v["fw"], v["fh"], context_width), image("detail", w, h, detail_width))
+            F.array(image("context", v["fw"], v["fh"], context_width), image("detail", w, h, detail_width, part))
         )
-        peak = F.when(v["peak"] & ~v["whole"], F.array(image("change_peak", w, h, detail_width))).otherwise(none)
+        peak = F.when(v["peak"] & ~v["whole"], F.array(image("change_peak", w, h, detail_width, part))).otherwise(none)
         return F.concat(before, middle, peak)
 
     return F.transform(F.array(cut), build)[0]

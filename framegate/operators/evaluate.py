@@ -1,7 +1,6 @@
 """From frames and labels to an evaluation: the gate against a baseline that may show as many frames."""
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ def uniform_baseline(media: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def verifications(frames: DataFrame, media: DataFrame, labels: DataFrame, gate: Gate = Gate()) -> DataFrame:
-    """A forced event per label of an action, with the change between the frames before and after it. An error if a frame is missing."""
+    """A forced event per label of an action, with the change between the frames before and after it, and where it is. An error if a frame is missing."""
     asked = labels.where(match.is_action(F.col("category"))).join(media.select("media_id", "fps", "frame_count"), "media_id")
     frame = lambda t: signals.frame_at(F.col(t), F.col("fps"), F.col("frame_count"))
     asked = asked.select("media_id", "label_id", "action_text", "expected_result", frame("before_timestamp").alias("_before"), frame("after_timestamp").alias("frame_index"))
@@ -40,39 +39,19 @@ def verifications(frames: DataFrame, media: DataFrame, labels: DataFrame, gate:
     rows = asked.join(a, ["media_id", "_before"], "left").join(b, ["media_id", "frame_index"], "left")
     rows = rows.where(F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.concat(F.lit("action frame is missing for "), F.col("label_id").cast("string"))).cast("boolean")).otherwise(True))
 
-    @F.pandas_udf("double")
-    def change(a, b, w, h):
-        import pandas as pd
+    box = ", ".join(f"{b}: int" for b in gt.BOX)
 
+    @F.pandas_udf(f"struct<change_fraction: double, {box}>")
+    def change(a: pd.Series, b: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
         pair = lambda d, i, j: analysis_pair(pixels(d, i, j), gate)
-        return pd.Series([detect_change(pair(y, i, j), pair(x, i, j), i, j, gate)[1] for x, y, i, j in zip(a, b, w, h)], dtype=float)
-
-    rows = rows.withColumn("change_fraction", change("_a", "_b", "width", "height"))
-    return rows.select("media_id", "timestamp_s", "frame_index", F.lit("action_verification").alias("reason"), F.lit("forced").alias("discovery"), "change_fraction", "action_text", "expected_result")
-
-
-def interpreted(events: DataFrame, interpret: Callable[[dict, str | None], dict], state: str = "string") -> DataFrame:
-    """events with state and verification from a user's function, called in order per medium with the state it gave last."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", state string, verification string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        media, last = None, None
-        for batch in batches:
-            states, verdicts = [], []
-            for row in batch.to_dict("records"):
-                if row["media_id"] != media:
-                    media, last = row["media_id"], None
-                answer = interpret(row, last)
-                last = answer.get("state")
-                states.append(last)
-                verdicts.append(answer.get("verification"))
-            yield batch.assign(state=states, verification=verdicts)
+        found = [detect_change(pair(y, i, j), pair(x, i, j), i, j, gate) for x, y, i, j in zip(a, b, w, h)]
+        out = [(fraction, *([region[n] for n in gt.BOX] if region else [None] * 6)) for region, fraction, _ in found]
+        return pd.DataFrame(out, columns=["change_fraction", *gt.BOX]).astype({n: "Int32" for n in gt.BOX})
 
-    return events.repartition("media_id").sortWithinPartitions("media_id", "sequence_no").mapInPandas(run, schema)
+    rows = rows.withColumn("_c", change("_a", "_b", "width", "height"))
+    return rows.select(
+        "media_id", "timestamp_s", "frame_index", F.col("_before").alias("before_frame_index"), F.lit("action_verification").alias("reason"), F.lit("forced").alias("discovery"), "_c.*", "action_text", "expected_result"
+    )
 
 
 def scores(labels: DataFrame, observations: DataFrame, media: DataFrame, method: str) -> dict[str, DataFrame]:
@@ -84,4 +63,4 @@ def scores(labels: DataFrame, observations: DataFrame, media: DataFrame, method:
     state = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("state", "verification")]
     judged = match.judged(matched.join(rows.select("media_id", F.col("sequence_no").alias("matched_sequence"), *state), ["media_id", "matched_sequence"], "left"), "state", "verification").withColumn("method", F.lit(method))
     calls = match.score_observations(rows.withColumn("method", F.lit(method)), matched, ["media_id"], media.agg(F.sum("duration_seconds").alias("duration_seconds")).withColumn("method", F.lit(method)), ["method"])
-    return {"matches": matched, "totals": match.score_labels(judged, ["method"]).join(calls, "method", "left"), "categories": match.score_labels(judged, ["method", "category"])}
+    return {"matches": matched, "totals": match.score_labels(judged, ["method"]).join(calls, "method", "left"), "categories": match.score_labels(judged, ["method", "category"]), "cases": match.score_labels(judged, ["method", "case_id"])}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegate.functions.pixels import encoded, png
+from framegate.functions.pixels import png
 from framegate.sources.video import frame_name, pixels
 
 
@@ -61,5 +61,31 @@ def candidate_json(df: DataFrame) -> DataFrame:
     )).alias("value"))
 
 
-def scaled_image(data: bytes, width: int, height: int, most: int) -> tuple[bytes, int, int]:
-    return encoded(pixels(data, width, height), most)
+def write_event_images(images: DataFrame, folder: str, suffix: str = "png") -> DataFrame:
+    """The images of events as files, in a folder that every executor sees; columns media_id, sequence_no, position, role, width, height, patches, file.
+
+    images: as from operators.frames.event_images. The executors write; the result is read to make them do so, and a task that runs again writes the same files.
+    """
+    columns = ["media_id", "sequence_no", "position", "role", "width", "height", "patches", "file"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for name, data in zip(f["file"], f["data"]):
+                path = Path(folder) / name
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(data)
+            yield f[columns]
+
+    own = F.concat(F.substring(F.sha2("media_id", 256), 1, 16), F.lit("/"), event_image_name(F.col("sequence_no"), F.col("timestamp_s"), F.col("role"), suffix))
+    kind = images.schema["media_id"].dataType.simpleString()
+    return images.withColumn("file", own).mapInPandas(run, f"media_id {kind}, sequence_no long, position int, role string, width int, height int, patches long, file string")
+
+
+def observation_json(events: DataFrame, files: DataFrame) -> DataFrame:
+    """Observations in their document form, each with its images in order (four at most). files: as from write_event_images."""
+    image = F.struct("position", "role", "file", "width", "height", "patches")
+    shown = files.groupBy("media_id", "sequence_no").agg(F.array_sort(F.collect_list(image)).alias("images"))
+    box = ("x", "y", "width", "height", "frame_width", "frame_height")
+    rows = events.withColumn("region", F.when(F.col("x").isNotNull(), F.struct(*box))).drop(*box) if "x" in events.columns else events
+    rows = rows.join(shown, ["media_id", "sequence_no"], "left")
+    return rows.select("media_id", "sequence_no", F.to_json(F.struct(*[c for c in rows.columns if c != "media_id"])).alias("value"))
