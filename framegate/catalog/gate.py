@@ -12,8 +12,8 @@ STEP = 30.0
 SLOW = Gate(min_event_interval_seconds=3600.0, max_active_seconds=86400.0)
 
 
-def gate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = signals.stepped(stream(spark, folder), ["value"]).withColumn("difference", F.abs(F.col("value") - F.col("previous_value")))
+def gate_rows(rows: DataFrame) -> DataFrame:
+    rows = signals.stepped(rows, ["value"]).withColumn("difference", F.abs(F.col("value") - F.col("previous_value")))
     changed = F.coalesce(F.col("difference") >= STEP, F.lit(False))
     return gate.gate_input(rows, changed, F.coalesce("difference", F.lit(0.0)) / 1000, F.lit("global_fraction"))
 
@@ -26,17 +26,18 @@ def _view(events: DataFrame, *more: str) -> DataFrame:
 
 
 def gate_events(spark: SparkSession, folder: str) -> DataFrame:
-    return _view(gate.run_gate(gate_rows(spark, folder), SLOW))
+    return _view(gate.run_gate(gate_rows(stream(spark, folder)), SLOW))
 
 
 def gate_flush(spark: SparkSession, folder: str) -> DataFrame:
-    return _view(gate.run_gate(gate_rows(spark, folder), SLOW, flush=True))
+    return _view(gate.run_gate(gate_rows(stream(spark, folder)), SLOW, flush=True))
 
 
 def gate_forced(spark: SparkSession, folder: str) -> DataFrame:
     """Each purchase is verified right after its frame."""
-    rows = gate_rows(spark, folder)
-    bought = stream(spark, folder).where("event_type = 'purchase'").withColumns({"action_text": F.lit("buy"), "expected_result": F.lit("receipt")})
+    whole = stream(spark, folder)
+    rows = gate_rows(whole)
+    bought = whole.where("event_type = 'purchase'").withColumns({"action_text": F.lit("buy"), "expected_result": F.lit("receipt")})
     forced = gate.gate_input(bought, F.lit(False), F.lit(0.0), F.lit("none"), control=F.lit("verify"))
     return _view(gate.run_gate(rows.unionByName(forced), SLOW))
 
@@ -48,27 +49,28 @@ def gate_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 def gate_appended(spark: SparkSession, folder: str) -> DataFrame:
     """The baseline's snapshots with the purchases verified after them."""
-    base = gate.snapshots(select.uniform_select(stream(spark, folder), ["media_id"], BUDGET))
-    bought = stream(spark, folder).where("event_type = 'purchase'").withColumns({"reason": F.lit("action_verification"), "discovery": F.lit("forced"), "change_fraction": F.lit(0.0)})
+    whole = stream(spark, folder)
+    base = gate.snapshots(select.uniform_select(whole, ["media_id"], BUDGET))
+    bought = whole.where("event_type = 'purchase'").withColumns({"reason": F.lit("action_verification"), "discovery": F.lit("forced"), "change_fraction": F.lit(0.0)})
     return gate.append_verifications(base, bought).select(*_KEEP)
 
 
 def gate_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Calls and tokens over the emitted events; every fifth call reported nothing."""
-    events = gate.run_gate(gate_rows(spark, folder), SLOW).withColumns({
+    events = gate.run_gate(gate_rows(stream(spark, folder)), SLOW).withColumns({
         "called": F.col("reason") != "initial", "input_tokens": F.when(F.col("sequence_no") % 5 != 0, F.col("sequence_no") + 100), "output_tokens": F.when(F.col("sequence_no") % 5 != 0, F.lit(9).cast("long")),
     })
     return gate.gate_totals(events, ["media_id"])
 
 
 def stream_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """The same events by a streaming query over files, with their status ('event': no interpreter is given); rows only, tests hold them against gate_events."""
+    """The same events by a streaming query over files, with their status ('event': no interpreter is given)."""
     import uuid
 
     from framegate.plans.durable import durable, shared_folder
     from framegate.streaming.live_gate import live_gate
 
-    rows = durable(gate_rows(spark, folder).repartition("media_id"))
+    rows = durable(gate_rows(stream(spark, folder)).repartition("media_id"))
     place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     source = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     query = live_gate(source, SLOW).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
@@ -106,6 +108,7 @@ _EVENTS = "SELECT media_id, sequence_no, frame_index, reason, discovery, change_
 _SNAPSHOTS = f"SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY frame_index) - 1 AS sequence_no, frame_index, 'scheduled_baseline' AS reason, 'uniform' AS discovery FROM ({_uniform(STREAM, 'media_id', BUDGET)})"
 SQL = {
     "gate_events": _gate_sql() + _EVENTS,
+    "stream_gate": _gate_sql() + _EVENTS.replace("SELECT ", "SELECT 'event' AS status, ", 1),
     "gate_flush": _gate_sql(flush=True) + _EVENTS,
     "gate_forced": _gate_sql(forced=True) + _EVENTS,
     "gate_snapshots": _SNAPSHOTS,

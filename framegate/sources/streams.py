@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from framegate.functions.text import relative_path, stripped, vocabulary_key
 from framegate.operators.versions import latest, measured
+from framegate.plans.durable import durable
 from framegate.plans.order import with_place
 from framegate.sources.tables import table
 
@@ -12,13 +13,13 @@ SIGNALS = ["frame_difference", "histogram_difference", "motion_score"]
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """events as a stream per user: frame_index from 0 in order of time, timestamp_s from the user's first event."""
+    """events as a stream per user, written once: frame_index from 0 in order of time, timestamp_s from the user's first event."""
     e = table(spark, folder, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = e.select(F.col("user_id").alias("media_id"), "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("motion"), micros.alias("_us"))
     rows = with_place(rows.where("media_id is not null"), ["media_id"], [F.col("_us"), F.col("event_id")], "frame_index").withColumn("frame_index", F.col("frame_index") - 1)
     first = rows.where("frame_index = 0").select("media_id", F.col("_us").alias("_first"))
-    return rows.join(first, "media_id").withColumn("timestamp_s", (F.col("_us") - F.col("_first")) / 1e6).drop("_us", "_first")
+    return durable(rows.join(first, "media_id").withColumn("timestamp_s", (F.col("_us") - F.col("_first")) / 1e6).drop("_us", "_first"))
 
 
 def videos(spark: SparkSession, folder: str) -> DataFrame:
