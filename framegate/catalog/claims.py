@@ -1,6 +1,6 @@
 """Comparisons of systems, collections and locks. Orders stand for events of a workflow (the customer), run costs come from line items.
 
-The queries that have SQL fold the customers into 200 workflows and draw SAMPLES times; claim_seeded takes the customers and all draws."""
+All comparisons take the default number of samples; claim_seeded draws with Python's generator, the others by hash."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from framegate.operators import claims, locks, select
 from framegate.sources.streams import case_videos, labels
 from framegate.sources.tables import table
 
-SAMPLES, SEED = 200, 7
+SAMPLES, SEED = Requirements().bootstrap_samples, 7
 
 
 def _system(spark: SparkSession, folder: str, success, false_confirmation, workflow) -> DataFrame:
@@ -20,8 +20,8 @@ def _system(spark: SparkSession, folder: str, success, false_confirmation, workf
     return o.select(F.col("o_orderkey").alias("event_id"), workflow.alias("workflow_id"), category.alias("category"), success.alias("success"), false_confirmation.alias("false_confirmation"))
 
 
-def _pairs(spark: SparkSession, folder: str, folded: bool = True) -> DataFrame:
-    workflow = F.col("o_custkey") % 200 if folded else F.col("o_custkey")
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    workflow = F.col("o_custkey")
     candidate = _system(spark, folder, F.col("o_orderstatus") != "P", F.col("o_orderkey") % 50 == 0, workflow)
     baseline = _system(spark, folder, F.col("o_totalprice") < 200000, F.col("o_orderkey") % 20 == 0, workflow)
     return claims.paired(candidate, baseline)
@@ -56,7 +56,7 @@ def claim_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 def claim_seeded(spark: SparkSession, folder: str) -> DataFrame:
     """The comparison whole: a customer is a workflow, the default number of samples, Python's generator for the draws; rows only."""
-    out = claims.compare_systems(_pairs(spark, folder, folded=False), Requirements())
+    out = claims.compare_systems(_pairs(spark, folder), Requirements())
     return out.select("events", "accuracy_low", "accuracy_high", "superiority_claim_supported")
 
 
@@ -156,7 +156,7 @@ QUERIES = {f.__name__: f for f in (
     slot_templates, collection_problems, selected_by_slot, selected_in_order, exactly_one, hash_verify, hash_verify_sources,
 )}
 
-_PAIRS = """SELECT o_orderkey AS event_id, o_custkey % 200 AS workflow_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'action_failure' ELSE 'other' END AS category, o_orderstatus <> 'P' AS success, o_orderkey % 50 = 0 AS fc, o_totalprice < 200000 AS base_success, o_orderkey % 20 = 0 AS base_fc FROM orders"""
+_PAIRS = """SELECT o_orderkey AS event_id, o_custkey AS workflow_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'action_failure' ELSE 'other' END AS category, o_orderstatus <> 'P' AS success, o_orderkey % 50 = 0 AS fc, o_totalprice < 200000 AS base_success, o_orderkey % 20 = 0 AS base_fc FROM orders"""
 
 
 def _interval_sql(where: str, value: str, seed: int) -> str:

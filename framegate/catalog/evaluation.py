@@ -8,6 +8,8 @@ from framegate.config import CATEGORIES, CLAIM180, RISKS
 from framegate.functions import geometry
 from framegate.functions.text import state_key
 from framegate.operators import checks, match, metrics
+from framegate.operators.versions import latest
+from framegate.plans.durable import durable
 from framegate.sources import logs
 from framegate.sources.streams import case_videos, labels, observations, videos
 from framegate.sources.tables import table
@@ -25,29 +27,34 @@ def _observed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, folder: str) -> DataFrame:
-    return match.best_match(_known(spark, folder), _observed(spark, folder), "video_path")
+    return match.best_match(durable(_known(spark, folder)), _observed(spark, folder), "video_path")  # labels reach for slices, and take what they got
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """Matches with a rule in the place of an interpreter: the state is the event's discovery, and a change of a tenth of the frame confirms."""
-    o = _observed(spark, folder).select("video_path", F.col("sequence_no").alias("matched_sequence"), F.col("discovery").alias("state"), F.when(F.col("change_fraction") >= 0.1, "confirmed").otherwise("not_confirmed").alias("verification"))
-    return match.judged(_matched(spark, folder).join(o, ["video_path", "matched_sequence"], "left"), "state", "verification")
+    seen = durable(_observed(spark, folder))
+    o = seen.select("video_path", F.col("sequence_no").alias("matched_sequence"), F.col("discovery").alias("state"), F.when(F.col("change_fraction") >= 0.1, "confirmed").otherwise("not_confirmed").alias("verification"))
+    matched = match.best_match(durable(_known(spark, folder)), seen, "video_path")
+    return match.judged(matched.join(o, ["video_path", "matched_sequence"], "left"), "state", "verification")
 
 
 def best_match(spark: SparkSession, folder: str) -> DataFrame:
     return _matched(spark, folder).select("label_id", "triggered", "matched_sequence", "matched_reason", "matched_role", F.round("distance", 6).alias("distance"))
 
 
-def _of_labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return _observed(spark, folder).join(_known(spark, folder).select("video_path").distinct(), "video_path", "left_semi")
+def _of_labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The observations of videos that have labels, and the labels' matches among them."""
+    known = durable(_known(spark, folder))
+    seen = durable(_observed(spark, folder).join(known.select("video_path").distinct(), "video_path", "left_semi"))
+    return seen, durable(match.best_match(known, seen, "video_path"))
 
 
 def false_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return match.false_calls(_of_labelled(spark, folder), _matched(spark, folder), ["video_path"]).select("video_path", "sequence_no", "reason")
+    return match.false_calls(*_of_labelled(spark, folder), ["video_path"]).select("video_path", "sequence_no", "reason")
 
 
 def observation_scores(spark: SparkSession, folder: str) -> DataFrame:
-    out = match.score_observations(_of_labelled(spark, folder), _matched(spark, folder), ["video_path"], videos(spark, folder).select("video_path", "duration_seconds"), ["video_path"])
+    out = match.score_observations(*_of_labelled(spark, folder), ["video_path"], videos(spark, folder).select("video_path", "duration_seconds"), ["video_path"])
     return out.select(*out.columns[:5], F.round("false_calls_per_minute", 6).alias("false_calls_per_minute"), F.round("calls_per_minute", 6).alias("calls_per_minute"))
 
 
@@ -92,9 +99,12 @@ def audit_counts(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.audit_counts(labels(spark, folder), CLAIM180)
 
 
+def audit_marks(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.audit_marks(labels(spark, folder, "region", "acceptable_states"))
+
+
 def duplicate_transitions(spark: SparkSession, folder: str) -> DataFrame:
-    out = metrics.duplicate_transitions(labels(spark, folder), F.col("transition"), F.col("label_id"))
-    return out.select("transition", "labels", F.array_join("keys", ",").alias("keys"))
+    return metrics.duplicate_transitions(labels(spark, folder), F.col("transition"), F.col("label_id")).select("transition", "labels", F.col("key").alias("label_id"))
 
 
 def profile_complete(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +123,9 @@ def label_defaults(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_violations(spark: SparkSession, folder: str) -> DataFrame:
-    rows = labels(spark, folder, "start_s", "end_s", "region", "before_timestamp", "after_timestamp", "action_text", "expected_result")
+    """Rules that labels break as they were delivered, before spellings and defaults are put right."""
+    keep = ["case_id", "event_id", "start_s", "end_s", "tolerance", "category", "risk", "region", "before_timestamp", "after_timestamp", "action_text", "expected_result"]
+    rows = latest(table(spark, folder, "labeled_events").where("label_id is not null"), ["label_id"], "ingested_at", keep)
     return checks.violations(rows, "label_id", checks.label_rules())
 
 
@@ -151,7 +163,7 @@ def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    best_match, false_calls, observation_scores, method_totals, category_scores, case_scores, review_sheet, review_scores, audit_counts, duplicate_transitions, profile_complete,
+    best_match, false_calls, observation_scores, method_totals, category_scores, case_scores, review_sheet, review_scores, audit_counts, audit_marks, duplicate_transitions, profile_complete,
     state_names, label_defaults, label_violations, region_merge, region_pixels, image_roles, usage_totals,
 )}
 
@@ -198,7 +210,7 @@ def _review_sql() -> str:
 _TARGETS = ", ".join(f"('category', '{c}', {CLAIM180.targets.get(c, 0)})" for c in CATEGORIES) + ", " + ", ".join(f"('risk', '{r}', NULL)" for r in RISKS)
 _AUDIT = f"""SELECT kind, name, count(c.kind2) AS labels, count(*) FILTER (c.real_world_eligible) AS eligible, target, CASE WHEN kind = 'category' THEN greatest(0, target - count(*) FILTER (c.real_world_eligible)) END AS deficit
  FROM (SELECT kind, name, target::BIGINT AS target FROM (VALUES {_TARGETS}) v(kind, name, target)) w LEFT JOIN (SELECT 'category' AS kind2, category AS name2, real_world_eligible FROM ({LABELS}) UNION ALL SELECT 'risk', risk, real_world_eligible FROM ({LABELS})) c ON kind = kind2 AND name = name2 GROUP BY kind, name, target"""
-_DUPLICATES = f"SELECT transition, count(*) AS labels, array_to_string(list_slice(list_sort(list(label_id)), 1, 10), ',') AS keys FROM ({LABELS}) WHERE transition IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+_DUPLICATES = f"SELECT * FROM (SELECT transition, count(*) OVER (PARTITION BY transition) AS labels, label_id FROM ({LABELS}) WHERE transition IS NOT NULL) WHERE labels > 1"
 _BOX = f"""SELECT *, greatest(0, x - 12) AS ex, greatest(0, y - 12) AS ey, least(frame_width, x + width + 12) - greatest(0, x - 12) AS ew, least(frame_height, y + height + 12) - greatest(0, y - 12) AS eh"""
 
 
@@ -220,13 +232,15 @@ SQL = {
     "review_sheet": _M + "SELECT case_id, event_id, 'gate' AS method, triggered, matched_sequence, category, risk, 'cases/' || case_id || '/gate/observations.json' AS observation_file, CASE WHEN category <> 'action_failure' THEN false END AS false_confirmation FROM m",
     "review_scores": _review_sql(),
     "audit_counts": _AUDIT,
+    "audit_marks": f"""SELECT count(*) AS labels, count(region) AS with_region, count(*) FILTER (len(acceptable_states) > 0) AS with_states, count(*) FILTER (region IS NOT NULL AND len(acceptable_states) > 0) AS with_both,
+ count(DISTINCT transition) FILTER (real_world_eligible) AS independent_transitions FROM ({LABELS})""",
     "duplicate_transitions": _DUPLICATES,
     "profile_complete": f"""SELECT *, missing = 0 AND independent >= 180 AND case_deficit = 0 AND reused = 0 AS profile_complete FROM (SELECT (SELECT coalesce(sum(deficit), 0)::BIGINT FROM ({_AUDIT}) WHERE kind = 'category') AS missing,
  (SELECT count(DISTINCT transition) FROM ({LABELS}) WHERE real_world_eligible) AS independent, (SELECT count(*) FROM (SELECT transition FROM ({LABELS}) WHERE real_world_eligible AND transition IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS reused,
  (SELECT greatest(0, 30 - count(DISTINCT case_id)) FROM evaluation_cases) AS case_deficit)""",
     "state_names": f"SELECT label_id, pos - 1 AS pos, regexp_replace(replace(lower(trim(acceptable_states[pos])), '-', '_'), '\\s+', '_', 'g') AS state FROM (SELECT label_id, acceptable_states, unnest(range(1, len(acceptable_states) + 1)) AS pos FROM ({LABELS}))",
     "label_defaults": f"SELECT label_id, category, risk, tolerance, real_world_eligible, transition FROM ({LABELS})",
-    "label_violations": checks.LABEL_SQL.format(labels=LABELS),
+    "label_violations": checks.LABEL_SQL.format(labels="SELECT * FROM labeled_events QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY ingested_at DESC) = 1"),
     "region_merge": f"""WITH g AS (SELECT video_path, min(region.x) AS x, min(region.y) AS y, max(region.x + region.width) - min(region.x) AS width, max(region.y + region.height) - min(region.y) AS height, region.frame_width AS frame_width, region.frame_height AS frame_height
  FROM ({_OBSERVED}) WHERE region IS NOT NULL GROUP BY video_path, region.frame_width, region.frame_height) SELECT * EXCLUDE (ex, ey, ew, eh), CASE WHEN frame_width * frame_height > 0 THEN round(ew * eh / (frame_width * frame_height), 6) ELSE 0 END AS expanded_ratio FROM ({_BOX} FROM g)""",
     "region_pixels": f"""SELECT label_id, x, y, greatest(1, x2 - x) AS width, greatest(1, y2 - y) AS height FROM (SELECT label_id, least(width - 1, floor(region.x * width))::INTEGER AS x, least(height - 1, floor(region.y * height))::INTEGER AS y, least(width, ceil((region.x + region.width) * width))::INTEGER AS x2,

@@ -44,10 +44,10 @@ _REGION = "coalesce(region.x >= 0 AND region.y >= 0 AND region.width > 0 AND reg
 _FIELDS = [_F.format("before_timestamp"), _F.format("after_timestamp"), _G.format("action_text"), _G.format("expected_result")]
 _RULES_SQL = {
     "event_id": "coalesce(regexp_full_match(event_id, '[A-Za-z0-9][A-Za-z0-9._-]*'), false)", "case_id": "coalesce(regexp_full_match(case_id, '[A-Za-z0-9][A-Za-z0-9._-]*'), false)",
-    "times": f"{_F.format('start_s')} AND {_F.format('end_s')} AND start_s >= 0 AND end_s >= start_s", "tolerance": "tolerance >= 0", "category": f"category IN {CATEGORIES}", "risk": f"risk IN {RISKS}", "region": f"region IS NULL OR {_REGION}",
+    "times": f"{_F.format('start_s')} AND {_F.format('end_s')} AND start_s >= 0 AND end_s >= start_s", "tolerance": f"{_F.format('tolerance')} AND tolerance >= 0", "category": f"category IN {CATEGORIES}", "risk": f"risk IN {RISKS}", "region": f"region IS NULL OR {_REGION}",
     "action_fields": f"CASE WHEN {_ACTION} THEN {' AND '.join(_FIELDS)} ELSE {' AND '.join('NOT ' + f for f in _FIELDS)} END", "action_order": f"NOT {_ACTION} OR NOT ({_FIELDS[0]} AND {_FIELDS[1]}) OR before_timestamp < after_timestamp",
 }
-LABEL_SQL = "SELECT label_id, unnest(list_filter([" + ", ".join(f"CASE WHEN NOT ({sql}) THEN '{name}' END" for name, sql in _RULES_SQL.items()) + "], lambda x: x IS NOT NULL)) AS rule FROM ({labels})"
+LABEL_SQL = "SELECT label_id, unnest(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce(({sql}), false) THEN '{name}' END" for name, sql in _RULES_SQL.items()) + "], lambda x: x IS NOT NULL)) AS rule FROM ({labels})"
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -4,9 +4,12 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +40,26 @@ def fingerprint(value: dict, without: tuple[str, ...] = ()) -> str:
 
 
 def file_facts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, bytes and sha256 of files, read whole by the executors."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes and sha256 of files of any size, read by the executors.
+
+    Files on a file system that every executor sees (file:) are read in pieces of 1 MiB; of other stores up to 2 GB at once, as Spark reads binary files.
+    """
+    listed = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            digests = []
+            for path in f["path"]:
+                digest = hashlib.sha256()
+                with open(unquote(path.removeprefix("file:")), "rb") as file:
+                    while piece := file.read(1 << 20):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield f.assign(sha256=digests)
+
+    near = listed.where(F.col("path").startswith("file:")).mapInPandas(run, "path string, bytes long, sha256 string")
+    far = spark.read.format("binaryFile").load(paths).where(~F.col("path").startswith("file:")).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return near.unionByName(far)
 
 
 def verify(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:
@@ -151,19 +171,22 @@ def preregister(plan_path: Path | str, out: Path | str) -> dict:
     """Lock a plan before anything is collected: its file's hash, its content, and a fingerprint that leaves the time of day out."""
     plan = read_object(plan_path, "plan")
     check_plan(plan)
-    root = Path(plan_path).resolve().parent
-    lock = {"schema_version": 1, "kind": "held_out_preregistration", "plan": file_contract(root, Path(plan_path).name), "content": plan, "created_at_utc": datetime.now(UTC).isoformat()}
+    place, root = Path(plan_path).resolve(), Path(out).resolve().parent
+    contract = file_contract(place.parent, place.name) | {"path": os.path.relpath(place, root)}
+    lock = {"schema_version": 1, "kind": "held_out_preregistration", "plan": contract, "content": plan, "created_at_utc": datetime.now(UTC).isoformat()}
     lock["preregistration_id"] = fingerprint(lock, ("created_at_utc", "preregistration_id"))
     write_object(out, lock)
     return lock
 
 
-def preregister_supplement(base: Path | str, deficits: dict[str, int], targets: list[dict], out: Path | str) -> dict:
+def preregister_supplement(base: Path | str, deficits: dict[str, int], targets: list[dict], out: Path | str, evidence: dict | None = None) -> dict:
     """Lock a supplement for categories that fell short; only failed actions and loading may be collected again, and no output may have been seen."""
     lock = read_object(base, "preregistration")
     _require(lock.get("kind") == "held_out_preregistration", "the base must be a preregistration")
     _require(set(deficits) <= {"action_failure", "loading_completion"} and all(v > 0 for v in deficits.values()), "a supplement covers failed actions and loading only")
     _require(not lock.get("model_outputs_seen", False), "model outputs have been seen")
+    if evidence is not None:
+        _require(supplement_base(Path(base).resolve().parent, evidence) == deficits, "the deficits are not those of the base inventory")
     have: dict[str, int] = {}
     for t in targets:
         have[t["category"]] = have.get(t["category"], 0) + 1
@@ -174,10 +197,116 @@ def preregister_supplement(base: Path | str, deficits: dict[str, int], targets:
     return value
 
 
-def verify_preregistration(path: Path | str) -> bool:
+def preregistration_problems(path: Path | str, spark: SparkSession | None = None) -> list[str]:
+    """What is wrong with a preregistration today: its id, its kind, the plan's file and content, and the files that the plan names."""
     lock = read_object(path, "preregistration")
-    same = lock.get("preregistration_id") == fingerprint(lock, ("created_at_utc", "preregistration_id"))
-    return same and lock.get("kind") == "held_out_preregistration"
+    root = Path(path).resolve().parent
+    problems = []
+    if lock.get("kind") != "held_out_preregistration":
+        problems.append("unknown kind")
+    if lock.get("preregistration_id") != fingerprint(lock, ("created_at_utc", "preregistration_id")):
+        problems.append("fingerprint is invalid")
+    try:
+        place = (root / lock["plan"]["path"]).resolve()
+        if file_contract(place.parent, place.name) | {"path": lock["plan"]["path"]} != lock["plan"]:
+            problems.append("plan file was changed")
+        plan = read_object(place, "plan")
+        check_plan(plan)
+        if plan != lock["content"]:
+            problems.append("plan differs from the locked one")
+        if plan.get("actions_manifest") is not None:
+            spark = spark or SparkSession.active()
+            files = actions_manifest(spark, place.parent, plan["actions_manifest"], plan["case_ids"])
+            if plan.get("target_events") is not None:
+                wrong = target_problems(action_table(spark, files), target_table(spark, plan)).limit(1).collect()
+                problems += [f"target event: {r['problem']}" for r in wrong]
+    except (LockError, OSError, KeyError) as e:
+        problems.append(str(e))
+    return problems
+
+
+def verify_preregistration(path: Path | str, spark: SparkSession | None = None) -> bool:
+    return not preregistration_problems(path, spark)
+
+
+def actions_manifest(spark: SparkSession, root: Path, reference: dict, case_ids: list[str]) -> dict[str, Path]:
+    """The action file of each case, from a manifest that must be as declared, name the cases of the plan in its order, and whose files must all be as declared."""
+    path = inside(root, reference["path"])
+    _require(path.is_file() and file_contract(root, reference["path"]) == {k: reference[k] for k in ("path", "bytes", "sha256")}, "actions manifest integrity check failed")
+    manifest = read_object(path, "actions manifest")
+    _require(manifest.get("schema_version") == 1, "actions manifest schema_version must be 1")
+    _require(bool(REVISION.fullmatch(str(manifest.get("collector_revision", "")).lower())), "collector_revision must be a full revision")
+    rows = manifest.get("cases", [])
+    _require([r.get("case_id") for r in rows] == case_ids, "the actions manifest must name the cases of the plan in its order")
+    files = {r["case_id"]: inside(path.parent, r["action_file"]) for r in rows}
+    _require(all(f.is_file() for f in files.values()), "an action file is missing")
+    expected = spark.createDataFrame([(f"file:{files[r['case_id']]}", r["bytes"], r["sha256"]) for r in rows], "path string, bytes long, sha256 string")
+    broken = verify(expected, file_facts(spark, sorted({str(f) for f in files.values()})), ["path"]).where("not valid").limit(1).collect()
+    _require(not broken, f"action file integrity check failed: {broken[0]['path'] if broken else ''}")
+    return files
+
+
+_ACTION = "struct<id: string, type: string, required: boolean, expected_outcome: string, expected_result: string>"
+
+
+def action_table(spark: SparkSession, files: dict[str, Path]) -> DataFrame:
+    """The actions of action files: case_id, action_id, type, required, expected_outcome, expected_result."""
+    paths = spark.createDataFrame([(c, f"file:{p}") for c, p in files.items()], "_case string, path string")
+    texts = spark.read.text([str(p) for p in files.values()], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = texts.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(paths, "path")
+    parsed = texts.select("_case", F.from_json("value", f"case_id string, actions array<{_ACTION}>").alias("f"))
+    rows = parsed.select(F.col("_case").alias("case_id"), F.explode("f.actions").alias("a"))
+    return rows.select("case_id", F.col("a.id").alias("action_id"), "a.type", F.coalesce("a.required", F.lit(True)).alias("required"), F.coalesce("a.expected_outcome", F.lit("success")).alias("expected_outcome"), "a.expected_result")
+
+
+def target_table(spark: SparkSession, plan: dict) -> DataFrame:
+    """The target events of a plan: case_id, slot_id, action_id, category, expected_result."""
+    rows = [(r["case_id"], r.get("slot_id"), e["action_id"], e["category"], e.get("expected_result")) for r in plan["target_events"] for e in r.get("events", [r])]
+    return spark.createDataFrame(rows, "case_id string, slot_id string, action_id string, category string, expected_result string")
+
+
+def target_problems(actions: DataFrame, targets: DataFrame) -> DataFrame:
+    """What is wrong with target events, a row per problem: case_id, action_id, problem.
+
+    A target must name exactly one action of its case, which must be required; a failure is expected of it exactly if its category is action_failure; the
+    result expected must be the action's, where the target states one; a loading target must wait, and succeed. One join by (case, action).
+    """
+    found = actions.groupBy("case_id", "action_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_and("required").alias("_required"), F.max("expected_outcome").alias("_outcome"), F.max("expected_result").alias("_result"), F.max("type").alias("_type")
+    )
+    rows = targets.join(found, ["case_id", "action_id"], "left")
+    failure = F.col("category") == "action_failure"
+    rules = {
+        "action is missing or duplicated": F.coalesce(F.col("_n"), F.lit(0)) != 1,
+        "action is not required": ~F.col("_required"),
+        "outcome does not fit the category": failure != (F.col("_outcome") == "failure"),
+        "expected result differs": F.col("expected_result").isNotNull() & ~F.col("expected_result").eqNullSafe(F.col("_result")),
+        "loading target must wait and succeed": (F.col("category") == "loading_completion") & ((F.col("_type") != "wait_for") | (F.col("_outcome") != "success")),
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), text) for text, bad in rules.items()]), lambda x: x.isNotNull())
+    return rows.select("case_id", "action_id", F.explode(broken).alias("problem"))
+
+
+# The three files that a supplement rests on, with the field of their identity and the time that it leaves out.
+BASE_EVIDENCE = {"preregistration": ("preregistration_id", "created_at_utc"), "collection_summary": ("collection_id", "generated_at_utc"), "event_inventory": ("inventory_id", None)}
+
+
+def supplement_base(root: Path, evidence: dict) -> dict[str, int]:
+    """The deficits that a supplement may fill, from three files that must be as declared, be what their identity says, belong to each other, and whose inventory
+    was taken before any model output was seen."""
+    _require(isinstance(evidence, dict) and set(evidence) == set(BASE_EVIDENCE), f"base evidence must name {sorted(BASE_EVIDENCE)}")
+    files = {}
+    for name, (identity, time) in BASE_EVIDENCE.items():
+        declared = evidence[name]
+        _require(file_contract(root, declared["path"]) == {k: declared[k] for k in ("path", "bytes", "sha256")}, f"base {name} integrity check failed")
+        files[name] = read_object(inside(root, declared["path"]), f"base {name}")
+        actual = fingerprint(files[name], tuple(c for c in (identity, time) if c))
+        _require(files[name].get(identity) == actual == declared["identity"], f"base {name} fingerprint is invalid")
+    chain = (("collection_summary", "preregistration", "preregistration_id"), ("event_inventory", "collection_summary", "collection_id"))
+    for later, earlier, key in chain:
+        _require(files[later].get(key) == files[earlier].get(key), f"base {later} does not belong to the base {earlier}")
+    _require(files["event_inventory"].get("model_outputs_seen") is False, "model outputs have been seen")
+    return files["event_inventory"]["supplement_deficits"]
 
 
 def freeze(spark: SparkSession, manifest: Path | str, audit: dict, role: str, out: Path | str, preregistration: Path | str | None = None) -> dict:
@@ -188,7 +317,7 @@ def freeze(spark: SparkSession, manifest: Path | str, audit: dict, role: str, ou
     profile = CLAIM180 if role == "held_out" else PILOT60
     _require(audit.get("profile") == profile.name, f"a {role} set is audited with {profile.name}")
     if role == "held_out":
-        _require(preregistration is not None and verify_preregistration(preregistration), "a held-out set needs a valid preregistration")
+        _require(preregistration is not None and verify_preregistration(preregistration, spark), "a held-out set needs a valid preregistration")
         _require(os.path.getmtime(preregistration) <= os.path.getmtime(manifest), "the preregistration must be older than the manifest")
     videos = sorted({c["video"] for c in content.get("cases", [])})
     paths = [inside(manifest.parent, v) for v in videos]
