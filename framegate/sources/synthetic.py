@@ -24,43 +24,62 @@ EVENTS = (
 CASES = tuple(dict.fromkeys(c for c, *_ in EVENTS))
 
 
-def _box(frame: np.ndarray, x: float, y: float, w: int, h: int, color: tuple[int, int, int]) -> None:
-    x, y = int(round(x)), int(round(y))
-    frame[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)] = color
+# The drawing of the suite. Boxes are (left, top, right, bottom) with both ends, disks (x, y, radius); colours are blue, green, red.
+GRID = (("box", (0, 0, 159, 95), 28), ("box", (0, 72, 159, 72), 65), ("box", (8, 8, 35, 28), 52))
+CUTS = ((0, (30, 45, 150)), (40, (140, 45, 30)), (80, (30, 145, 55)))
+#: What is there only for some frames: (case, first frame, last frame, shape, place, colour).
+MARKS = (
+    ("slow_change", 96, 119, "disk", (80, 47, 2), 90),
+    ("brief_flash", 52, 52, "box", (0, 0, 159, 95), 255),
+    ("continuous_motion", 55, 61, "disk", (80, 48, 5), (0, 0, 255)),
+    ("camera_pan", 65, 72, "box", (74, 42, 86, 54), (10, 10, 245)),
+)
+ROWS, COLUMNS = np.mgrid[0:HEIGHT, 0:WIDTH]
 
 
-def render(case: str, t: float) -> np.ndarray:
-    """The frame of a case at a time."""
-    frame = np.full((HEIGHT, WIDTH, 3), 40, np.uint8)
-    within = lambda a, b: a - 1e-9 <= t <= b + 1e-9
-    if case == "static_short_motion":
-        _box(frame, 20, 60, 50, 20, (90, 90, 90))
-        if within(2.5, 3.1):
-            _box(frame, 20 + (t - 2.5) / 0.6 * 100, 20, 24, 24, (230, 230, 230))
+def _draw(frame: np.ndarray, shape: str, place: tuple, color) -> None:
+    if shape == "box":
+        left, top, right, bottom = place
+        frame[top : bottom + 1, max(0, left) : right + 1] = color
+    else:
+        x, y, radius = place
+        frame[(COLUMNS - x) ** 2 + (ROWS - y) ** 2 <= radius**2] = color
+
+
+def _layers(case: str, index: int) -> Iterator[tuple[str, tuple, object]]:
+    """What a frame of a case is drawn of, from back to front, but for its marks."""
+    if case in ("static_short_motion", "slow_change", "brief_flash", "repetitive_motion"):
+        yield from GRID
+    if case == "static_short_motion" and 50 <= index <= 62:
+        x = 45 + (index - 50) * 70 // 12
+        yield "box", (x, 42, x + 16, 58), 235
     elif case == "hard_scene_cuts":
-        frame[:] = (30, 30, 30) if t < 2.0 - 1e-9 else (200, 60, 60) if t < 4.0 - 1e-9 else (60, 60, 220)
+        yield "box", (0, 0, 159, 95), [color for first, color in CUTS if first <= index][-1]
+        yield "disk", (80, 48, 15), 220
     elif case == "slow_change":
-        frame[:] = int(40 + 60 * max(0.0, (t - 0.5) / 4.5))
-        if t >= 5.0 - 1e-9:
-            _box(frame, 50, 30, 60, 36, (240, 240, 240))
-    elif case == "brief_flash":
-        if round(t * FPS) == 52:
-            frame[:] = 255
-    elif case == "continuous_motion":
-        _box(frame, (t * 40) % (WIDTH + 20) - 20, 50, 20, 20, (160, 160, 160))
-        if within(2.75, 3.05):
-            _box(frame, 110, 8, 36, 30, (0, 0, 255))
+        yield "box", (55, 30, 105, 65), 28 + int(32 * min(1.0, max(0.0, (index / FPS - 1) / 4)))
     elif case == "repetitive_motion":
-        _box(frame, 70 + 40 * np.sin(t * np.pi * 2), 30, 20, 20, (160, 160, 160))
-        if within(4.0, 4.3):
-            frame[60:, :] = (0, 220, 220)
+        x = 105 if index // 5 % 2 else 35
+        yield "box", (x, 38, x + 18, 57), (20, 20, 250) if 80 <= index <= 86 else 230
     elif case == "camera_pan":
-        x = np.arange(WIDTH) + t * 10
-        frame[:] = (60 + 30 * (np.sin(x / 12.0) > 0)).astype(np.uint8)[None, :, None]
-        if within(3.25, 3.60):
-            _box(frame, 60, 20, 48, 48, (0, 0, 255))
-    else:
+        for x in range(-(index * 3 % 32), WIDTH, 32):
+            if x + 15 >= 0:
+                yield "box", (x, 0, x + 15, 95), (38, 52, 72)
+
+
+def render(case: str, t: float) -> np.ndarray:
+    """The frame of a case at a time."""
+    if case not in CASES:
         raise ValueError(f"unknown case {case}")
+    index = round(t * FPS)
+    frame = np.zeros((HEIGHT, WIDTH, 3), np.uint8)
+    if case == "continuous_motion":  # a ramp that moves 5 pixels a frame
+        frame[:] = ((COLUMNS - 5 * index) % WIDTH).astype(np.uint8)[..., None]
+    for layer in _layers(case, index):
+        _draw(frame, *layer)
+    for own, first, last, *mark in MARKS:
+        if own == case and first <= index <= last:
+            _draw(frame, *mark)
     return frame
 
 
