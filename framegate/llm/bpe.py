@@ -3,6 +3,7 @@
 import heapq
 import json
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ class Vocabulary:
         byte_of = {letter: b for b, letter in self._letter.items()}
         self.pieces = {i: bytes(byte_of[c] for c in word) for word, i in vocab.items() if all(c in byte_of for c in word)}
 
+    @cached_property
     def rank_map(self) -> list[dict[int, int]]:
         """Slots of maps: left << _ID_BITS | right -> rank << _ID_BITS | merged id."""
         slots: list[dict[int, int]] = [{} for _ in range(_SLOTS)]
@@ -85,6 +87,11 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+@lru_cache(4)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def _literal(spark: SparkSession, value, kind: str) -> Column:
     """A value as a scalar subquery: evaluated once, then a literal in every task."""
     schema = T.StructType([T.StructField("v", T._parse_datatype_string(kind))])
@@ -124,27 +131,28 @@ def _merge_fold(word: Column, byte_ids: Column, ranks: Column) -> Column:
 
 
 def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Ids of distinct words; columns word, ids. words: word string, not empty.
+    """Ids of distinct words; the columns of words and ids. words: word string, not empty, and any others but ids.
 
     A fold of the ranked merges over each word's byte array, with the rank map as a literal of fixed size. Words of more than FOLD_BYTES
     bytes are merged exactly in Arrow batches instead.
     """
     spark = words.sparkSession
-    vocabulary = Vocabulary(path)
-    tables = _literal(spark, (vocabulary.byte_ids, vocabulary.rank_map()), "struct<byte_ids: array<int>, ranks: array<map<bigint,bigint>>>")
-    data = words.select("word", F.encode("word", "UTF-8").alias("_bytes"))
+    vocabulary = _vocabulary(path)
+    tables = _literal(spark, (vocabulary.byte_ids, vocabulary.rank_map), "struct<byte_ids: array<int>, ranks: array<map<bigint,bigint>>>")
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields]
+    data = words.withColumn("_bytes", F.encode("word", "UTF-8"))
     # Read once, so that the optimizer puts the subquery where the column is: the literal is never copied into a row.
     fold = F.transform(F.array("_tables"), lambda t: _merge_fold(F.col("_bytes"), t["byte_ids"], t["ranks"]))[0]
-    short = data.where(F.octet_length("_bytes") <= FOLD_BYTES).select("word", "_bytes", tables.alias("_tables")).select("word", fold.alias("ids"))
+    short = data.where(F.octet_length("_bytes") <= FOLD_BYTES).select("*", tables.alias("_tables")).select(*words.columns, fold.alias("ids"))
     shared = spark.sparkContext.broadcast((vocabulary.byte_ids, vocabulary.merges))
 
     def by_heap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Vocabulary.__new__(Vocabulary)
         own.byte_ids, own.merges = shared.value
         for f in frames:
-            yield pd.DataFrame({"word": f["word"], "ids": [own.encode_bytes(w.encode()) for w in f["word"]]})
+            yield f.assign(ids=[own.encode_bytes(w.encode()) for w in f["word"]])
 
-    long = data.where(F.octet_length("_bytes") > FOLD_BYTES).select("word").mapInPandas(by_heap, "word string, ids array<int>")
+    long = data.where(F.octet_length("_bytes") > FOLD_BYTES).select(*words.columns).mapInPandas(by_heap, ", ".join([*others, "ids array<int>"]))
     return short.unionByName(long)
 
 
@@ -207,7 +215,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY)
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
     counts = durable(source.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    coded = durable(encode_words(counts, path).join(counts, "word"))
+    coded = durable(encode_words(counts, path))
     sent = docs.sparkSession.sparkContext.broadcast(_head(coded))
     kind = docs.schema[key].dataType.simpleString()
     read = source.select("_key", F.xxhash64("_text").alias("_mark"), words.alias("_words"))
@@ -228,7 +236,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY)
 
 def decode_corpus(encoded: DataFrame, key: str, ids: str, path: str = VOCABULARY) -> DataFrame:
     """The text of each list of ids; columns key, text. Binary pieces are concatenated, then read as UTF-8. A null list gives null, an empty one ''."""
-    vocabulary = Vocabulary(path)
+    vocabulary = _vocabulary(path)
     most = max(vocabulary.pieces) + 1
     table = _literal(encoded.sparkSession, [bytearray(vocabulary.pieces.get(i, b"")) for i in range(most)], "array<binary>")
     pieces = F.transform(F.array("_table"), lambda t: F.transform("_ids", lambda i: F.hex(F.element_at(t, i + 1))))[0]
