@@ -66,9 +66,9 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "perception_events").where("video_path is not null and sequence_no is not null")
-    events = latest(events, ["video_path", "sequence_no"], "ingested_at", ["reason", "change_fraction", "timestamp_s"])
+    events = latest(events, ["video_path", "sequence_no"], "ingested_at", ["reason", "change_fraction", "timestamp_s"], in_order=True)
     events = events.withColumn("reason", F.lower(stripped(F.col("reason"))))
-    return runs.collapse_runs(events, ["video_path"], "sequence_no", "reason", "timestamp_s", "change_fraction", 0.01, 2.0)
+    return runs.collapse_runs(events, ["video_path"], "sequence_no", "reason", "timestamp_s", "change_fraction", 0.01, 2.0, placed=True)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

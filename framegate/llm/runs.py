@@ -97,7 +97,7 @@ def _merge(entity: list[str], below: int | None, max_gap: float, max_change: flo
 
 
 def collapse_runs(
-    events: DataFrame, entity: list[str], sequence: str, kind: str, time: str, change: str, max_change: float, max_gap: float
+    events: DataFrame, entity: list[str], sequence: str, kind: str, time: str, change: str, max_change: float, max_gap: float, placed: bool = False
 ) -> DataFrame:
     """Every run of repeated events as one row; columns entity + first_sequence, last_sequence, events, started, ended, duration, kind.
 
@@ -110,6 +110,7 @@ def collapse_runs(
     meets the limits. What touches a block's edge is still open and is merged again with its neighbours in the next larger block. Two runs are
     as similar as the events that touch, so the result does not depend on where blocks are cut. Blocks are cut by an event's place in the order of
     range partitions, whatever its number, so an entity of any size and spacing spreads over as many tasks as it needs, and none holds more of it than one block.
+    placed: events lie in range partitions over (entity, sequence) already, with no sequence number of an entity twice.
     """
     columns = [*entity, *[c.split()[0] for c in _RUN.split(", ")]]
     value, at = measured(F.col(change).cast("double")), measured(F.col(time).cast("double"))
@@ -118,8 +119,9 @@ def collapse_runs(
         at.alias("started"), at.alias("ended"), F.col(kind).cast("string").alias("kind"), value.alias("first_change"), value.alias("last_change"),
     )
     order = [*entity, "first_sequence", "started", "kind", "first_change"]
-    placed = runs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("first_at", F.monotonically_increasing_id())
-    runs = placed.withColumn("last_at", F.col("first_at"))
+    runs = runs if placed else runs.repartitionByRange(*order)
+    runs = runs.sortWithinPartitions(*order).withColumn("first_at", F.monotonically_increasing_id())
+    runs = runs.withColumn("last_at", F.col("first_at"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
     closed = None
     for below, bits in zip((None, *LEVELS), LEVELS):
