@@ -50,21 +50,33 @@ def bind(records: DataFrame, key: str, bonds: list[Column]) -> DataFrame:
 
     Two records are bound when they have the same value in one of the two bonds; null binds nothing. key is a long; records
     with a null key are left out, rows that repeat a key are one record with the bonds of all. Exactly two bonds: the records are the edges of a two-sided graph whose nodes are bond values.
-    A bond value is known by 2 x (smallest key that has it), plus 1 for the second bond, so ids are exact and the smallest node
-    of a component is the smallest key. Records equal in both bonds are one edge before anything is joined.
+
+    Records equal in both bonds are one edge before anything is joined. A value of the second bond leads to one of the first, the smallest that it meets, so
+    only the first bond's values are nodes, and only where a second value meets several of them is there an edge; components() sees those alone.
+    A value is known by 2 x (smallest key that has it), plus 1 for the second bond, so ids are exact.
     """
     if len(bonds) != 2:
         raise ValueError("bind takes two bonds")
     rows = durable(records.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *[b.alias(f"_b{i}") for i, b in enumerate(bonds)]))
-    pairs = durable(rows.groupBy("_b0", "_b1").agg(F.min("_key").alias("_low")))
-    nodes = [pairs.where(F.col(f"_b{i}").isNotNull()).groupBy(f"_b{i}").agg((F.min("_low") * 2 + i).alias(f"_n{i}")) for i in (0, 1)]
-    known = durable(pairs.join(nodes[0], "_b0", "left").join(nodes[1], "_b1", "left"))
-    roots = components(known.where("_n0 is not null and _n1 is not null").select(F.col("_n0").alias("a"), F.col("_n1").alias("b")))
-    known = known.withColumn("node", F.coalesce("_n0", "_n1")).join(roots, "node", "left")
-    group = known.select("_b0", "_b1", F.shiftright(F.coalesce("root", "node"), 1).alias("group_id"))
-    same = (rows["_b0"].eqNullSafe(group["_b0"])) & (rows["_b1"].eqNullSafe(group["_b1"]))
+    pairs = durable(rows.where("_b0 is not null or _b1 is not null").groupBy("_b0", "_b1").agg(F.min("_key").alias("_low")))
+    first = pairs.where("_b0 is not null").groupBy("_b0").agg((F.min("_low") * 2).alias("_n0"))
+    pairs = pairs.join(first, "_b0", "left")
+    second = pairs.where("_b1 is not null").groupBy("_b1").agg((F.min("_low") * 2 + 1).alias("_n1"), F.min("_n0").alias("_home"))
+    known = durable(pairs.join(second, "_b1", "left").select("_b0", "_b1", "_low", "_n0", "_home", F.coalesce("_n0", "_home", "_n1").alias("node")))
+    edges = known.where("_n0 <> _home").select(F.col("_n0").alias("a"), F.col("_home").alias("b"))
+
+    same = lambda a, b: a["_b0"].eqNullSafe(b["_b0"]) & a["_b1"].eqNullSafe(b["_b1"])
+    repeated = rows.groupBy("_key").count().where("count > 1").select("_key")
+    if not repeated.isEmpty():
+        twice = rows.join(repeated, "_key")
+        met = durable(twice.join(known, same(twice, known)).select("_key", "node"))
+        edges = edges.union(met.join(met.groupBy("_key").agg(F.min("node").alias("b")), "_key").select("node", "b"))
+    roots = components(edges)
+    known = known.join(roots, "node", "left").select("_b0", "_b1", "_low", F.coalesce("root", "node").alias("root"))
+    known = known.join(known.groupBy("root").agg(F.min("_low").alias("group_id")), "root").select("_b0", "_b1", "group_id")
     alone = rows.where("_b0 is null and _b1 is null").select(F.col("_key").alias(key), F.col("_key").alias("group_id"))
-    bound = rows.where("_b0 is not null or _b1 is not null").join(group, same).select(F.col("_key").alias(key), "group_id")
+    bound = rows.where("_b0 is not null or _b1 is not null")
+    bound = bound.join(known, same(bound, known)).select(F.col("_key").alias(key), "group_id")
     return bound.unionByName(alone).groupBy(key).agg(F.min("group_id").alias("group_id"))
 
 
