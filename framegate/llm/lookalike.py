@@ -5,7 +5,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +134,11 @@ def with_form(df: DataFrame, text: str, name: str = "form") -> DataFrame:
     """
     tables = shape()
 
-    @F.pandas_udf("string")
-    def canon(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def canon(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         form = tables.former()
-        for s in batches:
-            yield pd.Series([None if t is None else form(t) for t in s], dtype=object)
+        for texts in batches:
+            yield pa.array([None if t is None else form(t) for t in texts.to_pylist()], pa.string())
 
     source = F.col(text)
     return df.withColumn(name, F.coalesce(canon(F.when(~source.rlike(PLAIN), source)), source))
