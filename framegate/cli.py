@@ -7,6 +7,7 @@ import sys
 from dataclasses import asdict
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,13 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def _loaded(name: str | None):
-    """A function or object named module:attribute, null for none."""
+    """A function or object named module:attribute, null for none. It travels to the executors by value."""
     if not name:
         return None
-    module, _, attribute = name.partition(":")
-    return getattr(importlib.import_module(module), attribute)
+    path, _, attribute = name.partition(":")
+    module = importlib.import_module(path)
+    cloudpickle.register_pickle_by_value(module)
+    return getattr(module, attribute)
 
 
 def _video(spark: SparkSession, path: str | list[str], decoder: str | None = None) -> tuple[DataFrame, DataFrame]:
