@@ -178,3 +178,22 @@ def splits(grouped: DataFrame, key: str, targets: DataFrame, bins: int = 50) ->
     dealt = heavy.withColumn("one", F.lit(0)).join(goal, "one").groupBy("one").applyInPandas(_deal, "bin int, split_name string")
     chosen = where.join(dealt, "bin").select(F.col("item").alias("group_id"), "split_name")
     return grouped.select(key, "group_id").join(chosen, "group_id").select(key, "group_id", "split_name")
+
+
+def shares(split: DataFrame, targets: DataFrame, bins: int = 50) -> DataFrame:
+    """What a split came to; columns split_name, target_share, near, parted, labels. split: as from splits(), targets as there.
+
+    near: the split's share lies off its target (as a part of all targets) by no more than a bin or the largest group. parted: groups that more than one split has, of
+    all; labels: records of all splits.
+    """
+    split = durable(split)
+    whole = split.groupBy("group_id").agg(F.count(F.lit(1)).alias("_w"), F.count_distinct("split_name").alias("_s"))
+    whole = whole.agg(F.count_if(F.col("_s") > 1).alias("parted"), F.coalesce(F.sum("_w"), F.lit(0)).alias("labels"), F.max("_w").alias("_most"))
+    goal = targets.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share").alias("target_share"))
+    asked = goal.agg(F.sum("target_share").alias("_asked"))
+    counts = split.groupBy("split_name").agg(F.count(F.lit(1)).alias("_n"))
+    one = lambda df: df.withColumn("_k", F.lit(0))
+    rows = one(goal.join(counts, "split_name", "left")).join(one(whole), "_k").join(one(asked), "_k")
+    off = F.abs(F.coalesce("_n", F.lit(0)) / F.col("labels") - F.col("target_share") / F.col("_asked"))
+    near = F.coalesce(off <= F.greatest(F.lit(1 / bins), F.col("_most") / F.col("labels")), F.lit(True))
+    return rows.select("split_name", "target_share", near.alias("near"), "parted", "labels")

@@ -49,6 +49,11 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota_sample.draw(labels, plan, "label_id")
 
 
+def p2_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows, and how many different labels, the sample has for each target from where."""
+    return p2_sample(spark, folder).groupBy("profile_id", "target_id", "kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("label_id").alias("labels"))
+
+
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
     labels = _labels(spark, folder, "case_id", "source_transition_id").join(_cases(spark, folder), "case_id", "left")
     entity = F.when(F.col("video").isNotNull(), F.concat(F.lit("v:"), "video")).when(F.col("case_id").isNotNull(), F.concat(F.lit("c:"), "case_id"))
@@ -64,6 +69,10 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     return group_split.splits(_groups(spark, folder), "label_id", table(spark, folder, "split_targets"))
 
 
+def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return group_split.shares(p3_splits(spark, folder), table(spark, folder, "split_targets"))
+
+
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "perception_events").where("video_path is not null and sequence_no is not null")
     events = latest(events, ["video_path", "sequence_no"], "ingested_at", ["reason", "change_fraction", "timestamp_s"], in_order=True)
@@ -129,4 +138,4 @@ def p9_form(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.with_form(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_splits, p4_found, p4_runs, p5_found, p6_found, p6_ranking, p7_ids, p8_found, p8_leaks, p9_found, p9_classes, p9_form)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p2_drawn, p3_found, p3_splits, p3_shares, p4_found, p4_runs, p5_found, p6_found, p6_ranking, p7_ids, p8_found, p8_leaks, p9_found, p9_classes, p9_form)}

@@ -1,6 +1,6 @@
 """ANSI SQL for the p queries that SQL can express over whole tables; keys as in queries.QUERIES."""
 
-from framegate.llm import lookalike
+import unicodedata
 
 _KEY = "replace(replace(lower(trim({0}, ' ' || chr(9) || chr(10))), '-', '_'), ' ', '_')"
 _LATEST_LABELS = "SELECT * FROM labeled_events QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY ingested_at DESC) = 1"
@@ -32,20 +32,58 @@ r AS (SELECT video_path, frame_index, none, row_number() OVER (PARTITION BY vide
 """
 
 
+# Fixed values, stated apart from the operator's: letters of one shape, the one that stands for all first.
+_ALIKE = (
+    "AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜϺ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YҮΥ ZΖ aаα cсϲ dԁ eе hһ iіι jјϳ lӏ oоο pрρ qԛ sѕ uυ vѵν wԝ xх yуγү "
+    "ГΓ ПΠ ФΦ кκ ÞϷ þϸ ƩΣ ƷӠ ʒӡ ΨѰ ψѱ ИͶ иͷ ӘƏ әəǝ ĐÐƉ ӨΘƟѲ өѳɵ εɛ μµ"
+).split()
+_LETTER = {ord(c): group[0] for group in _ALIKE for c in group[1:]}
+# Characters of other categories than Cf and Cc that have no width, and those of Cf that are drawn; tabs and line ends stay.
+_HIDDEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)}
+_SEEN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2}
+_LINES = {9, 10, 11, 12, 13, 0x85, 0x2028, 0x2029}
+
+
+def _stands(cp: int) -> str:
+    """What stands for a character of the first plane."""
+    c = chr(cp)
+    kind = unicodedata.category(c)
+    if cp in _HIDDEN or (kind in ("Cf", "Cc") and cp not in _SEEN and cp not in _LINES):
+        return ""
+    if kind == "Zs":
+        return " "
+    how, *parts = unicodedata.decomposition(c).split() or [""]
+    if how in ("<wide>", "<narrow>"):
+        c = "".join(chr(int(x, 16)) for x in parts)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(_LETTER))
+
+
 def _form(text: str) -> str:
     """The look-alike form in SQL: single characters and composed letters are translated, marks composed."""
-    shape = lookalike.shape()
-    own = {chr(cp): shape.canonical(chr(cp)) for cp in (*range(0x20, 0xAC00), *range(0xF900, 0x10000)) if not 0x3131 <= cp <= 0x318E}
-    own |= {chr(cp): s for cp, s in shape.single.items()}
+    own = {chr(cp): _stands(cp) for cp in (*range(0x20, 0xAC00), *range(0xF900, 0x10000)) if not 0x3131 <= cp <= 0x318E}
+    own |= {chr(cp): _stands(cp) for cp in range(0x20) if cp not in _LINES and cp}
     moved = {a: b for a, b in own.items() if a != b and len(b) == 1 and a != "'"}
-    dropped = "".join(f"\\x{{{ord(a):X}}}" for a, b in own.items() if b == "")
+    dropped = "".join(f"\\x{{{ord(a):X}}}" for a, b in own.items() if b == "") + "\\x{E0000}-\\x{E0FFF}"
     quoted = lambda s: s.replace("'", "''")
     table = f"translate(regexp_replace({text}, '[{dropped}]', '', 'g'), '{quoted(''.join(moved))}', '{quoted(''.join(moved.values()))}')"
     return f"translate(nfc_normalize({table}), '{quoted(''.join(moved))}', '{quoted(''.join(moved.values()))}')"
 
 
 _GRAMS = """SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM {table}))"""
+#: Own labels first; what they lack comes from other risks of the category in order of targets, then from the profile's other categories. No profile of
+#: these tables exhausts its other categories.
+_DRAWN = _REPORT + """, z AS (SELECT y.*, least(needed, existing) AS own, needed - least(needed, existing) AS lack, (SELECT count(*) FROM x WHERE x.c = y.category) AS rows_of FROM y WHERE category IS NOT NULL AND profile_id IS NOT NULL),
+w AS (SELECT *, rows_of - sum(own) OVER (PARTITION BY profile_id, category) AS free, coalesce(sum(lack) OVER (PARTITION BY profile_id, category ORDER BY target_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM z),
+v AS (SELECT *, greatest(0, least(lack, free - earlier))::BIGINT AS from_siblings FROM w),
+u AS (SELECT *, lack - from_siblings AS rest, (SELECT sum(r) FROM (SELECT DISTINCT o.category, o.rows_of AS r FROM v o WHERE o.profile_id = v.profile_id AND o.category <> v.category))
+  - (SELECT sum(own + from_siblings) FROM v o WHERE o.profile_id = v.profile_id AND o.category <> v.category) AS elsewhere FROM v),
+q AS (SELECT profile_id, target_id, category, risk, needed, existing, own::BIGINT AS own, from_siblings, greatest(0, least(rest, elsewhere))::BIGINT AS from_cousins, (rest - greatest(0, least(rest, elsewhere)))::BIGINT AS short FROM u)
+"""
 SQL = {
+    "p2_report": _DRAWN + "SELECT profile_id, target_id, category, risk, needed, existing, own, from_siblings, from_cousins, short FROM q",
+    "p2_drawn": _DRAWN + """SELECT profile_id, target_id, kind, n AS rows, n AS labels FROM (SELECT profile_id, target_id, 'own' AS kind, own AS n FROM q UNION ALL SELECT profile_id, target_id, 'sibling', from_siblings FROM q UNION ALL
+SELECT profile_id, target_id, 'cousin', from_cousins FROM q) WHERE n > 0""",
+    "p3_shares": "SELECT split_name, target_share, true AS near, 0::BIGINT AS parted, (SELECT count(DISTINCT label_id) FROM labeled_events WHERE label_id IS NOT NULL) AS labels FROM split_targets WHERE split_name IS NOT NULL AND target_share > 0",
     "p6_found": _RANKED + "SELECT video_path, frame_index FROM r WHERE place = 1 AND NOT none",
     "p6_ranking": _RANKED + "SELECT video_path, frame_index, place FROM r",
     "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key="doc_id", form=_form("text"), table="documents")}) JOIN ({_GRAMS.format(key="item_id", form=_form("item_text"), table="heldout_items")}) USING (g)""",
