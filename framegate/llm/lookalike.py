@@ -156,7 +156,7 @@ def lookalikes(df: DataFrame, key: str, text: str) -> DataFrame:
     stand for the texts, so long texts are not shuffled; a class is found from one row per distinct string and map task.
     """
     rows = with_form(df.select(key, F.col(text).alias("_text")), "_text", "_form").where(visible(F.col("_form")))
-    rows = rows.select(key, F.unhex(F.sha2("_form", 256)).alias("class_id"), F.unhex(F.sha2("_text", 256)).alias("variant"))
+    rows = durable(rows.select(key, F.unhex(F.sha2("_form", 256)).alias("class_id"), F.unhex(F.sha2("_text", 256)).alias("variant")))  # forms are made once
     several = rows.groupBy("class_id").agg(F.min(F.hex("variant")).alias("_a"), F.max(F.hex("variant")).alias("_b")).where("_a <> _b").select("class_id")
     return rows.join(several, "class_id", "left_semi").select(key, "class_id", "variant").distinct()
 
