@@ -134,7 +134,7 @@ def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str, slice_seco
     long as max_tolerance. Once the watermark (newest time less `delay`) passes a left row's
     horizon it is emitted with its nearest right row, or dropped if there is none. Right rows older than the watermark by
     max_tolerance can match nothing that is still to come and are evicted. Rows that come behind the watermark are late and
-    dropped by Spark. A null or NaN tolerance is 0; one above max_tolerance is an error, since its right rows may be gone. A repeated left
+    dropped by Spark, which begins with a watermark of 1970, so times lie after that. A null or NaN tolerance is 0; one above max_tolerance is an error, since its right rows may be gone. A repeated left
     id waits until all its rows so far in a slice are past their horizon and gives its nearest match; rows of it that come after that, in another
     slice or under another entity, give a match of their own. Two right rows of one time are told apart by the smaller id.
     """
@@ -155,7 +155,7 @@ def nearest_stream(rows: DataFrame, max_tolerance: float, delay: str, slice_seco
         for f in frames:
             seconds = f["at"].astype("datetime64[us]").astype("int64") / 1e6
             parts.append(pd.DataFrame({"at": seconds, "side": f["side"], "id": f["id"], "tolerance": f["tolerance"].fillna(0.0)}))
-        all_rows = pd.concat(parts, ignore_index=True).sort_values(["at", "side", "id", "tolerance"], ascending=[True, True, True, False], ignore_index=True)
+        all_rows = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True).sort_values(["at", "side", "id", "tolerance"], ascending=[True, True, True, False], ignore_index=True)
         beyond = all_rows[(all_rows["side"] == 1) & (all_rows["tolerance"] > max_tolerance)]
         if len(beyond):
             raise ValueError(f"tolerance {beyond['tolerance'].iloc[0]} of left row {beyond['id'].iloc[0]} of {key[0]} is above max_tolerance {max_tolerance}")
