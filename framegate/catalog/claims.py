@@ -43,12 +43,12 @@ def coverage_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
     sums = claims.cluster_sums(_pairs(spark, folder), F.col("success").cast("int") - F.col("base_success").cast("int"))
-    out = claims.interval95(claims.md5_draws(sums, SAMPLES, SEED))
+    out = claims.interval95(claims.hashed_draws(sums, SAMPLES, SEED))
     return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def claim_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    out = claims.compare_systems(_pairs(spark, folder), Requirements(bootstrap_samples=SAMPLES, bootstrap_seed=SEED), claims.md5_draws)
+    out = claims.compare_systems(_pairs(spark, folder), Requirements(bootstrap_samples=SAMPLES, bootstrap_seed=SEED), claims.hashed_draws)
     numbers = ["candidate_accuracy", "baseline_accuracy", "accuracy_difference", "accuracy_low", "accuracy_high", "candidate_false_confirmation_rate", "baseline_false_confirmation_rate", "false_confirmation_low", "false_confirmation_high"]
     flags = ["accuracy_superiority", "accuracy_noninferiority", "false_confirmation_noninferiority", "enough_samples", "superiority_claim_supported"]
     return out.select("events", "workflows", "action_failures", *[F.round(n, 6).alias(n) for n in numbers], *flags, F.array_join("reasons", "; ").alias("reasons"))
@@ -161,7 +161,8 @@ _PAIRS = """SELECT o_orderkey AS event_id, o_custkey AS workflow_id, CASE WHEN o
 
 def _interval_sql(where: str, value: str, seed: int) -> str:
     return f"""(WITH u AS (SELECT workflow_id, sum({value}) AS total, count(*) AS members, row_number() OVER (ORDER BY workflow_id) AS no FROM ({_PAIRS}) WHERE {where} GROUP BY workflow_id), n AS (SELECT count(*) AS n FROM u),
- x AS (SELECT b, ('0x' || substr(md5('{seed}:' || b || ':' || slot), 1, 8))::BIGINT % n + 1 AS no FROM n, (SELECT unnest(range(1, {SAMPLES} + 1)) AS b), (SELECT unnest(range(1, (SELECT n FROM n) + 1)) AS slot)),
+ s AS (SELECT unnest(range(1, (SELECT n FROM n) + 1)) AS slot), d AS (SELECT unnest(range(1, {SAMPLES} + 1)) AS b), x0 AS (SELECT b, (b * 8191 + slot * 131071 + {seed * 1000003})::BIGINT % {claims.PRIME} AS v FROM d, s),
+ {" ".join(f"x{i + 1} AS (SELECT b, (v * v + v * {k} + {c}) % {claims.PRIME} AS v FROM x{i})," for i, (k, c) in enumerate(claims.ROUNDS))} x AS (SELECT b, v % (SELECT n FROM n) + 1 AS no FROM x{len(claims.ROUNDS)}),
  m AS (SELECT b, sum(total) / sum(members) AS mean FROM x JOIN u USING (no) GROUP BY b) SELECT {{'low': coalesce(round(quantile_cont(mean, 0.025), 6), 0), 'high': coalesce(round(quantile_cont(mean, 0.975), 6), 0)}} FROM m)"""
 
 

@@ -187,6 +187,24 @@ def test_scratch_tables_go(spark):
     assert not any(map(os.path.exists, files)) and kept.count() == 5
 
 
+def test_draws_by_hash_are_brute_force(spark, monkeypatch):
+    sums = {f"w{i:02d}": (i * 3 - 20, i + 1) for i in range(17)}
+    df = spark.createDataFrame([(k, *v) for k, v in sums.items()], "workflow_id string, total long, members long").repartition(4)
+    want, ids = [], sorted(sums)
+    for sample in range(1, 41):
+        drawn = []
+        for slot in range(1, 18):
+            x = (sample * 8191 + slot * 131071 + 5 * 1000003) % claims.PRIME
+            for k, c in claims.ROUNDS:
+                x = (x * x + x * k + c) % claims.PRIME
+            drawn.append(sums[ids[x % 17]])
+        want.append((sample, sum(t for t, _ in drawn), sum(m for _, m in drawn)))
+    for held in (claims.HELD, 0):  # sums sent to every task, and merged
+        monkeypatch.setattr(claims, "HELD", held)
+        assert rows(claims.hashed_draws(df, 40, 5)) == sorted(want, key=repr)
+    assert rows(claims.hashed_draws(df.limit(0), 40, 5)) == []
+
+
 def test_contracts_and_claim_text():
     assert claims.claim_text([], "a") is None and "a" in claims.claim_text(["y", "x"], "a") and "x, y" in claims.claim_text(["y", "x"], "a")
     problems = claims.contract_problems({"systems": [{"id": "s", "kind": "other", "events": [{"event_id": "e"}, {"event_id": "e"}]}], "review": None})
